@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sentence_ops
+from . import sentence_ops, truncation
 
-_MODULES = (sentence_ops,)
+_MODULES = (sentence_ops, truncation)
 
 
 def queries() -> dict:
