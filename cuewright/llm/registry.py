@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import sentence_ops, truncation
+from . import pairs, sentence_ops, truncation
 
-_MODULES = (sentence_ops, truncation)
+_MODULES = (sentence_ops, pairs, truncation)
 
 
 def queries() -> dict:
