@@ -35,7 +35,7 @@ REFUSALS = re.compile(
     | \b(?:request|content|text)\b.{0,40}\b(?:blocked\s+by|against\s+(?:my|our|the)|violates?)\b.{0,30}\b(?:polic|guideline|rules)
     | \bagainst\s+(?:my|our)\s+(?:guidelines|policy|policies|rules)
     | \b(?:i\s+)?must\s+decline\b | \bi\s+(?:have\s+to|must)\s+refuse\b
-    | \b(?:n['’]t|not)\s+(?:feel\s+|be\s+)?comfortable\b.{0,50}\b(?:line|segment|text|passage|request|translat\w+|render\w*|content)\b
+    | (?:n['’]t|\bnot)\s+(?:feel\s+|be\s+)?comfortable\b.{0,50}\b(?:line|segment|text|passage|request|translat\w+|render\w*|content)\b
     | \b(?:rather|prefer)\s+not\b.{0,50}\b(?:line|segment|text|passage|request|translat\w+|render\w*|content)\b
     | \bno\s+(?:puedo|podemos|me\s+es\s+posible|es\s+posible|estoy\s+en\s+condiciones\s+de)\s+(?:traducir|ayudar|atender|cumplir|procesar|responder|proporcionar|completar|continuar)
     | \bcomo\s+(?:asistente|modelo\s+de\s+lenguaje|ia)\b | \b(?:debo|tengo\s+que)\s+(?:rechazar|declinar|negarme|rehusar)\b | \bme\s+niego\s+a\b | \bno\s+me\s+siento\s+cómod

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pairs, sentence_ops, truncation
+from . import pairs, quality, sentence_ops, truncation
 
-_MODULES = (sentence_ops, pairs, truncation)
+_MODULES = (sentence_ops, pairs, truncation, quality)
 
 
 def queries() -> dict:
