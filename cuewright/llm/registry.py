@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import pairs, quality, sentence_ops, truncation
+from . import leaks, pairs, quality, sentence_ops, truncation
 
-_MODULES = (sentence_ops, pairs, truncation, quality)
+_MODULES = (sentence_ops, pairs, truncation, leaks, quality)
 
 
 def queries() -> dict:
