@@ -53,7 +53,8 @@ _INLINE = re.compile(r"[;,、；，|/•·]\s*")
 _DENSE = re.compile(r"[฀-๿぀-ヿ㐀-鿿豈-﫿]")
 _DAMAGE = re.compile(r"[ÃÂÐÑ](?=[^a-zA-Z\s]|[ÃÂ])")
 _MASH = re.compile(r"[a-z][\[\];'\\/<>=][a-z;\[\]]|[\[\];]{2}|(?<!\S)[;'\]][a-z]|[a-z][;\[](?!\S)")
-_BROKEN = re.compile(r"[^\W\d_][,;~|#§^¤:!?]+[^\W\d_]|[a-z]\d+[a-z]|(?<![\w.-])\d+[a-z]{2,}(?<!st)(?<!nd)(?<!rd)(?<!th)|(?<![\w.-])[a-z]{2,}\d+(?![\w.-])|[,;~|](?=[a-z])")
+_BROKEN = re.compile(r"[,;~|#§^¤:!?\d]+(?=[^\W\d_])")
+_UI_HINTS = ("<", "{{", "&", "undefined", "Loading", "[x]", ">>", "!!!", "Log", "Sign", "Share", "Subscribe", "Home", "Close", "Menu", "Cookie", "Play", "Search", "Download", "Accept")
 _FIRST = re.compile(r"[^\n]*?(?:[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？][”」』]?)\s*|[^\n]*\n\s*")
 
 # Character classes: 0 symbol, 1 letter, 2 digit, 3 space, 4 letter of an unspaced script, 5 a frequent one, 6 ordinary mark, 7 trace of damage.
@@ -113,8 +114,21 @@ def _table(line: str) -> bool:
     return tight >= 3 and tight >= 0.25 * (line.count(" ") + 1)
 
 
-def _pair(a: str, b: str) -> int:
-    return zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass"))
+_WORD_HASH: dict[str, int] = {}
+
+
+def _pairs(items: list[str]) -> np.ndarray:
+    """32-bit hashes of neighbouring items."""
+    if len(_WORD_HASH) > 200_000:
+        _WORD_HASH.clear()
+    h = np.empty(len(items), dtype=np.uint64)
+    for i, w in enumerate(items):
+        x = _WORD_HASH.get(w)
+        if x is None:
+            x = _WORD_HASH[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+        h[i] = x
+    with np.errstate(over="ignore"):
+        return (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
 
 
 def _edge_words(text: str) -> tuple[str, str]:
@@ -148,18 +162,20 @@ def measure(text: str, pairs: set[int] | None = None) -> np.ndarray:
     v[AT["common"]] = sum(1 for w in low if w in COMMON_WORDS or ("'" in w and w[: w.index("'") + 1] in COMMON_WORDS))
     v[AT["separators"]] = len(_INLINE.findall(text))
     v[AT["strong"]] = text.count(";") + text.count("|") + text.count("；")
-    v[AT["ui"]] = len(UI.findall(text))
+    if any(map(text.__contains__, _UI_HINTS)):
+        v[AT["ui"]] = len(UI.findall(text))
     if sizes and max(sizes) > 28:
         v[AT["blob_chars"]] = sum(k for t, k in zip(tokens, sizes) if k > 28 and not _DENSE.search(t))
-    v[AT["mash"]] = len(_MASH.findall(text))
+    if sum(map(text.count, "[];")) > 0.01 * n:
+        v[AT["mash"]] = len(_MASH.findall(text))
     v[AT["broken"]] = len(_BROKEN.findall(text))
     v[AT["pairs"]] = max(0, len(low) - 1)
     if pairs is not None:
         if dense * 3 > letters:
-            pairs.update(zlib.crc32(text[i : i + 4].encode("utf-8", "surrogatepass")) for i in range(0, n - 3))
-            v[AT["pairs"]] = max(0, n - 3)
-        else:
-            pairs.update(map(_pair, low, low[1:]))
+            low = [text[i : i + 2] for i in range(0, n - 1)]
+            v[AT["pairs"]] = max(0, len(low) - 1)
+        if len(low) > 1:
+            pairs.update(np.unique(_pairs(low))[:SKETCH].tolist())
     for line in text.split("\n"):
         if not line.strip():
             continue
@@ -214,7 +230,7 @@ def join_pieces(a: tuple, b: tuple) -> tuple:
         v[AT["words"]] -= 1
     elif a[5] and b[4]:
         v[AT["pairs"]] += 1
-        seam = [_pair(a[5], b[4])]
+        seam = _pairs([a[5], b[4]]).tolist()
     return v, smallest([*a[1], *b[1], *seam]), a[2], a[3], a[4] or b[4], b[5] or a[5]
 
 
