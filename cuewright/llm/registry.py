@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import leaks, pairs, quality, sentence_ops, truncation
+from . import leaks, pairs, quality, sentence_ops, truncation, turns
 
-_MODULES = (sentence_ops, pairs, truncation, leaks, quality)
+_MODULES = (sentence_ops, turns, pairs, truncation, leaks, quality)
 
 
 def queries() -> dict:
