@@ -64,6 +64,11 @@ EMIT = {
     "speech": {"word": -0.3, "dense": -0.3, "number": -1.5, "paren": -1.0, "label": -2.0, "filler": -9.0, "filler?": -1.0, "mark": -1.5, "note": -14.0, "label0": -8.0, "clock": -14.0},
 }
 
+#: Shapes that a single state emits.
+ONLY = {k: next(s for s in STATES if k in EMIT[s]) for k in {k for e in EMIT.values() for k in e} if sum(k in e for e in EMIT.values()) == 1}
+#: Whether a text holds anything but plain speech.
+_SPECIAL = re.compile(rf"[\[\](){{}}<>*♪♫【（]|\d:\d|^\s*\S+(?: \S+){{0,2}}\s?:|(?<!\S)[-–—](?=\s)|(?<![^\W_])(?:{_spaced_fillers})(?![^\W_'’-])|{_dense_fillers}", re.I)
+
 
 def shapes(text: str) -> list[tuple[str, int, int]]:
     """(shape, start, end) of the tokens of a text."""
@@ -131,13 +136,31 @@ class Tagger:
     step: dict[tuple[str, str], float]
 
     def tag(self, text: str) -> list[tuple[str, int, int]]:
-        """(state, start, end) of every token: the best path by Viterbi."""
+        """(state, start, end) of every token: the best path by Viterbi.
+
+        A shape that only one state can emit fixes its state, so the lattice is decoded in the
+        short stretches between such tokens.
+        """
         tokens = shapes(text)
-        if not tokens:
-            return []
-        score = {s: self.start[s] + EMIT[s].get(tokens[0][0], LOW) for s in STATES}
+        path: list[str] = []
+        i, n = 0, len(tokens)
+        while i < n:
+            only = ONLY.get(tokens[i][0])
+            if only:
+                path.append(only)
+                i += 1
+                continue
+            j = i
+            while j < n and tokens[j][0] not in ONLY:
+                j += 1
+            path += self._decode([t[0] for t in tokens[i:j]], path[-1] if path else None, ONLY[tokens[j][0]] if j < n else None)
+            i = j
+        return [(s, a, b) for s, (_, a, b) in zip(path, tokens)]
+
+    def _decode(self, kinds: list[str], before: str | None, after: str | None) -> list[str]:
+        score = {s: (self.start[s] if before is None else self.step[before, s]) + EMIT[s].get(kinds[0], LOW) for s in STATES}
         back: list[dict[str, str]] = []
-        for kind, _, _ in tokens[1:]:
+        for kind in kinds[1:]:
             now, arg = {}, {}
             for s in STATES:
                 p = max(STATES, key=lambda q: score[q] + self.step[q, s])
@@ -145,12 +168,12 @@ class Tagger:
                 arg[s] = p
             score = now
             back.append(arg)
-        s = max(STATES, key=lambda q: score[q])
+        s = max(STATES, key=lambda q: score[q] + (self.step[q, after] if after else 0.0))
         path = [s]
         for arg in reversed(back):
             s = arg[s]
             path.append(s)
-        return [(st, a, b) for st, (_, a, b) in zip(reversed(path), tokens)]
+        return path[::-1]
 
 
 def fit(texts: list[str], rounds: int = 2) -> Tagger:
@@ -179,6 +202,9 @@ def clean(text: str | None, model: Tagger) -> tuple[str, str | None]:
     if not text:
         return "", None
     plain = M.unescape(text)[0]
+    if not _SPECIAL.search(plain):
+        said = " ".join(plain.split())
+        return (said if any(c.isalnum() for c in said) else ""), None
     tags = model.tag(plain)
     label = next((plain[a:b] for s, a, b in tags if s == "speaker" and any(c.isalnum() for c in plain[a:b])), None)
     parts: list[str] = []
@@ -216,10 +242,10 @@ def cast_aliases(cast: DataFrame) -> DataFrame:
     return one.where(F.col("letter") == F.col("_other")).drop("_other")
 
 
-def tag_segments(segments: DataFrame, model: Tagger) -> DataFrame:
-    """``run_id, idx, start_s, end_s, speaker, clean_text, text_label`` of the segments in which something is said."""
+def tag_segments(segments: DataFrame, model: Tagger, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` plus ``clean_text, text_label`` of the segments in which something is said in ``text_src``."""
     shared = segments.sparkSession.sparkContext.broadcast(model)
-    names = ["run_id", "idx", "start_s", "end_s", "speaker"]
+    kinds = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -232,9 +258,9 @@ def tag_segments(segments: DataFrame, model: Tagger) -> DataFrame:
                     said.append(text)
                     labels.append(label)
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in names] + [pa.array(said, pa.string()), pa.array(labels, pa.string())], [*names, "clean_text", "text_label"])
+            yield pa.RecordBatch.from_arrays([b.column(c).take(take) for c in keep] + [pa.array(said, pa.string()), pa.array(labels, pa.string())], [*keep, "clean_text", "text_label"])
 
-    return segments.select(*names, "text_src").mapInArrow(run, "run_id bigint, idx int, start_s double, end_s double, speaker string, clean_text string, text_label string")
+    return segments.select(*keep, "text_src").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", clean_text string, text_label string")
 
 
 def _by_words(unnamed: DataFrame, words: DataFrame) -> DataFrame:
@@ -245,8 +271,8 @@ def _by_words(unnamed: DataFrame, words: DataFrame) -> DataFrame:
     """
     bucket = lambda c: F.floor(F.col(c) / BUCKET_S)
     # An open or reversed span is taken to last as long as its text is read.
-    end = F.when(F.col("end_s") > F.col("start_s"), F.col("end_s")).otherwise(F.col("start_s") + 0.5 + READ_S * F.length("clean_text"))
-    spans = unnamed.where(F.col("start_s").isNotNull() & ~F.isnan("start_s")).withColumn("end_s", end).select("run_id", "idx", "start_s", "end_s", F.lower("clean_text").alias("said"), F.explode(F.sequence(bucket("start_s"), bucket("end_s"))).alias("_bucket"))
+    end = F.when(F.col("end_s") > F.col("start_s"), F.col("end_s")).otherwise(F.col("start_s") + 0.5 + READ_S * F.length("text_src"))
+    spans = unnamed.where(F.col("start_s").isNotNull() & ~F.isnan("start_s")).withColumn("end_s", end).select("run_id", "idx", "start_s", "end_s", F.lower("text_src").alias("said"), F.explode(F.sequence(bucket("start_s"), bucket("end_s"))).alias("_bucket"))
     heard = words.where(F.col("speaker").isNotNull() & F.col("word").isNotNull()).select("run_id", F.col("start_s").alias("ws"), F.col("end_s").alias("we"), "word", F.col("speaker").alias("heard"), bucket("start_s").alias("_bucket"))
     inside = (F.col("ws") >= F.col("start_s") - 0.001) & (F.col("we") <= F.col("end_s") + 0.001)
     core = F.lower(F.regexp_replace("word", r"^[\p{P}\s]+|[\p{P}\s]+$", ""))
@@ -266,17 +292,24 @@ def _closest_name(unknown: DataFrame, cast: DataFrame) -> DataFrame:
     return near.groupBy("run_id", "key").agg(F.min_by("letter", F.struct("far", "letter")).alias("closest"))
 
 
-def name_segments(said: DataFrame, cast: DataFrame, words: DataFrame) -> DataFrame:
-    """Adds ``letter``: by the segment's label, the label in its text, its words, or the segment before it."""
+def name_segments(segments: DataFrame, cast: DataFrame, words: DataFrame, model: Tagger) -> DataFrame:
+    """``run_id, idx, start_s, end_s, clean_text, letter`` of the segments in which something is said.
+
+    ``letter`` comes from the segment's label, else the label in its text, else its words; it is
+    null where none of them tells. Labels and words are joined before the texts are tagged, so each
+    text is tagged once.
+    """
     aliases = cast_aliases(cast)
-    s = said.withColumn("key", label_key(F.col("speaker"))).withColumn("text_key", label_key(F.col("text_label")))
-    for key, out in (("key", "by_label"), ("text_key", "by_text")):
-        s = s.join(aliases.select("run_id", F.col("alias").alias(key), F.col("letter").alias(out)), ["run_id", key], "left")
-    misspelt = s.where(F.col("key").isNotNull() & F.col("by_label").isNull())
-    s = s.join(_closest_name(misspelt, cast), ["run_id", "key"], "left")
-    s = s.withColumn("named", F.coalesce("by_label", "closest", "by_text"))
-    s = s.join(_by_words(s.where(F.col("named").isNull()), words), ["run_id", "idx"], "left")
-    return s.withColumn("letter", F.coalesce("named", "by_words")).select("run_id", "idx", "start_s", "end_s", "clean_text", "letter")
+    alias = lambda key, out: aliases.select("run_id", F.col("alias").alias(key), F.col("letter").alias(out))
+    keyed = segments.withColumn("key", label_key(F.col("speaker")))
+    labels = keyed.where(F.col("key").isNotNull()).select("run_id", "key").distinct().join(alias("key", "by_alias"), ["run_id", "key"], "left")
+    labels = labels.join(_closest_name(labels.where(F.col("by_alias").isNull()), cast), ["run_id", "key"], "left")
+    named = keyed.join(labels.select("run_id", "key", F.coalesce("by_alias", "closest").alias("by_label")), ["run_id", "key"], "left")
+    heard = _by_words(named.where(F.col("by_label").isNull()), words)
+    voted = named.join(heard, ["run_id", "idx"], "left")
+    said = tag_segments(voted, model, ["run_id", "idx", "start_s", "end_s", "by_label", "by_words"])
+    said = said.withColumn("text_key", label_key(F.col("text_label"))).join(alias("text_key", "by_text"), ["run_id", "text_key"], "left")
+    return said.select("run_id", "idx", "start_s", "end_s", "clean_text", F.coalesce("by_label", "by_text", "by_words").alias("letter"))
 
 
 def _islands(df: DataFrame, keys: list[str], text_parts: Column) -> DataFrame:
@@ -314,7 +347,7 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     segments = delivered_once(table(spark, d, "segments", "run_id", "idx", "start_s", "end_s", "speaker", "text_src", "loaded_at"), "run_id", "idx")
     cast = table(spark, d, "speakers", "run_id", "speaker", "display_name")
     words = table(spark, d, "words", "run_id", "start_s", "end_s", "word", "speaker")
-    return turns(name_segments(tag_segments(segments, model), cast, words))
+    return turns(name_segments(segments, cast, words, model))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
