@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import leaks, pairs, quality, sentence_ops, split, truncation, turns
+from . import leaks, mix, pairs, quality, sentence_ops, split, truncation, turns
 
-_MODULES = (sentence_ops, turns, split, pairs, truncation, leaks, quality)
+_MODULES = (sentence_ops, turns, split, pairs, truncation, leaks, mix, quality)
 
 
 def queries() -> dict:
