@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, texts
 
-_MODULES = (problems,)
+_MODULES = (problems, texts)
 
 
 def queries() -> dict:
