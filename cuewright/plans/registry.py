@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems, texts
+from . import problems, spans, texts
 
-_MODULES = (problems, texts)
+_MODULES = (problems, spans, texts)
 
 
 def queries() -> dict:
