@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems, spans, texts
+from . import packing, problems, readings, spans, texts
 
-_MODULES = (problems, spans, texts)
+_MODULES = (problems, spans, texts, packing, readings)
 
 
 def queries() -> dict:
