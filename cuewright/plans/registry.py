@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, problems, readings, spans, texts
+from . import durable, packing, problems, readings, spans, texts
 
-_MODULES = (problems, spans, texts, packing, readings)
+_MODULES = (problems, spans, texts, packing, readings, durable)
 
 
 def queries() -> dict:
