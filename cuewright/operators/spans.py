@@ -102,7 +102,7 @@ def majority(df: DataFrame, key: str, value: str, fallback: str, least_share: fl
     least = n.where(F.col(value).isNotNull()).join(top.select(key, F.col("most").alias("m")), key).where("n = m").groupBy(key).agg(F.min(value).alias("top"))
     out = agg.join(least, key, "left")
     share = F.col("most") / F.col("total")
-    return out.select(key, F.coalesce("top", F.lit(fallback)).alias(value), share.alias("share"), F.coalesce((F.col("kinds") > 1) & (share < least_share), F.lit(True)).alias("mixed"))
+    return out.select(key, F.coalesce("top", F.lit(fallback)).alias(value), share.alias("share"), F.when(F.col("most").isNull(), F.lit(True)).otherwise((F.col("kinds") > 1) & (share < least_share)).alias("mixed"))
 
 
 def mark_density(words: DataFrame) -> DataFrame:

@@ -191,7 +191,7 @@ ORACLES = {
     "grouped_tokens": B.sql(B.W, r"SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY word_idx) - 1 AS word_no, regexp_replace(word, '^\s+|\s+$', '', 'g') AS word, start_ms, end_ms, speaker FROM w WHERE length(regexp_replace(word, '^\s+|\s+$', '', 'g')) > 0"),
     "channel_language": """WITH n AS (SELECT channel, lower(lang) AS lang, count(*) AS n FROM documents WHERE channel IS NOT NULL GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY n DESC, lang) AS k, sum(n) OVER (PARTITION BY channel) AS total, count(*) OVER (PARTITION BY channel) AS kinds FROM n WHERE lang IS NOT NULL)
-SELECT a.channel, coalesce(k.lang, 'en') AS lang, k.n / k.total AS share, coalesce(kinds > 1 AND k.n / k.total < 0.9, true) AS mixed FROM (SELECT DISTINCT channel FROM n) a LEFT JOIN k ON a.channel = k.channel AND k.k = 1""",
+SELECT a.channel, coalesce(k.lang, 'en') AS lang, k.n / k.total AS share, CASE WHEN k.n IS NULL THEN true ELSE kinds > 1 AND k.n / k.total < 0.9 END AS mixed FROM (SELECT DISTINCT channel FROM n) a LEFT JOIN k ON a.channel = k.channel AND k.k = 1""",
     "mark_density": B.sql(B.W, f"SELECT run_id, round(avg(CASE WHEN {_ENDER} THEN 1 ELSE 0 END), 6) AS density FROM w GROUP BY run_id"),
     "windowed_words": B.sql(B.W, "x AS (SELECT run_id, word_idx, start_ms, unnest(CASE WHEN start_ms % 50000 < 10000 AND start_ms >= 50000 THEN [start_ms // 50000 - 1, start_ms // 50000] ELSE [start_ms // 50000] END) AS win_idx FROM w WHERE start_ms IS NOT NULL)",
         "SELECT run_id, CAST(win_idx AS INT) AS win_idx, word_idx, start_ms FROM (SELECT *, row_number() OVER (PARTITION BY run_id, round_even(start_ms / 10.0, 0) ORDER BY win_idx, word_idx) AS k FROM x) WHERE k = 1"),
