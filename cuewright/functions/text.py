@@ -49,8 +49,9 @@ def clauses(c: Column) -> Column:
 
 def syllables(c: Column) -> Column:
     """One per whitespace word; a word with digits counts one and a half per digit, half to even; at least 1."""
-    digits = lambda t: F.length(F.regexp_replace(t, "[^0-9]", ""))
-    each = F.transform(whitespace_words(c), lambda t: F.when(digits(t) > 0, F.greatest(F.lit(1), F.bround(digits(t) * F.lit(1.5)).cast("int"))).otherwise(F.lit(1)))
+    digits = lambda t: F.length(t) - F.length(F.translate(t, "0123456789", ""))
+    # One and a half per digit, half to even, is at least 1 as soon as there is a digit.
+    each = F.transform(F.transform(whitespace_words(c), digits), lambda n: F.when(n > 0, F.bround(n * F.lit(1.5)).cast("int")).otherwise(F.lit(1)))
     return F.greatest(F.lit(1), F.aggregate(each, F.lit(0), lambda a, x: a + x))
 
 

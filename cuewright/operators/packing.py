@@ -104,41 +104,54 @@ def target_cues(segments: DataFrame, bounds: DataFrame, max_chars: int, max_ms:
     return rows.select("run_id", "idx", "cue_no", time_at("a").alias("start_ms"), time_at("b").alias("end_ms"), text.alias("text"))
 
 
-def _wrap(piece: Column, budget: int, count) -> Column:
-    """A piece over budget cut after the word that reaches the budget: (text, break before)."""
-    zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+def _wrap(piece: Column, budget: int, count, joint: int) -> Column:
+    """A piece over budget cut after the word that reaches the budget: (text, break before, count).
 
-    def step(acc, w):
-        cur = F.when(acc["cur"] == "", w).otherwise(F.concat(acc["cur"], F.lit(" "), w))
-        full = count(cur) >= budget
-        return F.struct(F.when(full, F.concat(acc["out"], F.array(cur))).otherwise(acc["out"]).alias("out"), F.when(full, F.lit("")).otherwise(cur).alias("cur"))
+    A stretch of words counts as its words and ``joint`` for each space between them, so each word is
+    counted once.
+    """
+    words = F.transform(T.whitespace_words(piece), lambda w: F.struct(w.alias("w"), count(w).alias("n")))
+    zero = F.struct(F.array().cast("array<struct<t:string,n:int>>").alias("out"), F.lit("").alias("cur"), F.lit(0).alias("n"))
+    close = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["cur"].alias("t"), acc["n"].alias("n"))))
+
+    def step(acc, x):
+        # The state before says whether the open stretch is full, so its text is built once per word.
+        full = acc["n"] >= budget
+        fresh = full | (acc["cur"] == "")
+        return F.struct(
+            F.when(full, close(acc)).otherwise(acc["out"]).alias("out"),
+            F.when(fresh, x["w"]).otherwise(F.concat(acc["cur"], F.lit(" "), x["w"])).alias("cur"),
+            F.when(fresh, x["n"]).otherwise(acc["n"] + joint + x["n"]).alias("n"),
+        )
 
-    parts = F.aggregate(T.whitespace_words(piece), zero, step, lambda acc: F.when(acc["cur"] != "", F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"]))
-    return F.transform(parts, lambda p, i: F.struct(p.alias("t"), F.when(i == 0, BOUNDARY).otherwise(HARDWRAP).alias("k")))
+    parts = F.aggregate(words, zero, step, lambda acc: F.when(acc["cur"] != "", close(acc)).otherwise(acc["out"]))
+    return F.transform(parts, lambda p, i: F.struct(p["t"].alias("t"), F.when(i == 0, BOUNDARY).otherwise(HARDWRAP).alias("k"), p["n"].alias("n")))
 
 
-def speech_chunks(text: Column, budget: int, count) -> Column:
+def speech_chunks(text: Column, budget: int, count, joint: int = 0) -> Column:
     """Chunks of a text as (text, break before it): sentences packed while their counts add up within the budget.
 
-    A sentence over budget is cut into clauses, a clause over budget at words. Join spaces do not
-    count. Blank texts give no chunk.
+    A sentence over budget is cut into clauses, a clause over budget at words. Spaces between
+    sentences do not count; ``joint`` is what a space inside a stretch adds to ``count`` (0 for
+    syllables, 1 for characters). Blank texts give no chunk.
     """
     if budget < 1:
         raise ValueError("the budget of a chunk is at least 1")
-    one = lambda t: F.array(F.struct(t.alias("t"), F.lit(BOUNDARY).alias("k")))
-    of_clause = lambda c: F.when(count(c) <= budget, one(c)).otherwise(_wrap(c, budget, count))
-    of_sentence = lambda s: F.when(count(s) <= budget, one(s)).otherwise(F.flatten(F.transform(T.clauses(s), of_clause)))
-    atoms = F.flatten(F.transform(T.sentences(text), of_sentence))
+    # Each text is counted once: it travels as (text, break before, count).
+    counted = lambda ts: F.transform(ts, lambda t: F.struct(t.alias("t"), F.lit(BOUNDARY).alias("k"), count(t).alias("n")))
+    broken = lambda x: _wrap(x["t"], budget, count, joint)
+    within = lambda f: lambda x: F.when(x["n"] <= budget, F.array(x)).otherwise(f(x))
+    of_clauses = lambda x: F.flatten(F.transform(counted(T.clauses(x["t"])), within(broken)))
+    atoms = F.flatten(F.transform(counted(T.sentences(text)), within(of_clauses)))
     zero = F.struct(F.array().cast("array<struct<t:string,k:string>>").alias("out"), F.lit(None).cast("string").alias("cur"), F.lit(BOUNDARY).alias("k"), F.lit(0).alias("n"))
 
     def step(acc, a):
-        n = count(a["t"])
-        stay = acc["cur"].isNotNull() & (acc["n"] + n <= budget)
+        stay = acc["cur"].isNotNull() & (acc["n"] + a["n"] <= budget)
         return F.struct(
             F.when(stay | acc["cur"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["cur"].alias("t"), acc["k"].alias("k"))))).alias("out"),
             F.when(stay, F.concat(acc["cur"], F.lit(" "), a["t"])).otherwise(a["t"]).alias("cur"),
             F.when(stay, acc["k"]).otherwise(a["k"]).alias("k"),
-            F.when(stay, acc["n"] + n).otherwise(n).alias("n"),
+            F.when(stay, acc["n"] + a["n"]).otherwise(a["n"]).alias("n"),
         )
 
     close = lambda acc: F.when(acc["cur"].isNotNull(), F.concat(acc["out"], F.array(F.struct(acc["cur"].alias("t"), acc["k"].alias("k"))))).otherwise(acc["out"])

@@ -9,7 +9,7 @@ from ..functions import profiles as L
 from ..functions import text as T
 from ..operators import intervals as I
 from ..operators import packing as K
-from ..tables import table
+from ..tables import spread, table
 from . import base as B
 from . import spans as SP
 
@@ -28,7 +28,7 @@ def target_cues(spark: SparkSession, d: str) -> DataFrame:
 
 def speech_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents in chunks of at most 60 syllables."""
-    docs = table(spark, d, "documents", "doc_id", "text")
+    docs = spread(table(spark, d, "documents", "doc_id", "text"))
     c = docs.select("doc_id", F.posexplode(K.speech_chunks(F.col("text"), 60, T.syllables)).alias("chunk_no", "c"))
     return c.select("doc_id", "chunk_no", F.md5(F.col("c.t").cast("binary")).alias("digest"), F.col("c.k").alias("break_before"))
 

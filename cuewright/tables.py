@@ -29,18 +29,35 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where they lie in fewer files than that; large inputs stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def partitioned(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows shuffled by ``keys`` for costly work per row.
+
+    Where the session's shuffle partitions are few for its cores, their number is kept, so that small
+    but costly rows do not end in a handful of tasks; otherwise the adaptive planner sizes them.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys) if n <= 4 * spark.sparkContext.defaultParallelism else df.repartition(*keys)
+
+
 def delivered_once(df: DataFrame, *keys: str, order: str = "loaded_at") -> DataFrame:
     """One row per natural key: the earliest delivery by ``order``.
 
     Ties on ``order`` carry the same content by contract, so any of them may stay. The rows are
-    reduced with ``min_by`` over a struct, which combines before the shuffle and never gathers a
-    key's rows. Rows whose key holds a null form a key of their own, like any other value.
+    shuffled once and reduced with ``min_by`` over a struct, which never gathers a key's rows; copies
+    are few, so combining them before the shuffle would cost more than it saves. Rows whose key holds a null form a key of their own, like any other value.
     """
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.distinct()
     rank = F.coalesce(F.col(order).cast("timestamp"), F.lit("9999-12-31").cast("timestamp")) if order in rest else F.lit(0)
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_row"))
+    first = partitioned(df, *keys).groupBy(*keys).agg(F.min_by(F.struct(*rest), rank).alias("_row"))
     return first.select(*keys, "_row.*")
 
 
