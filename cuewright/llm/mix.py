@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..tables import table
+from ..tables import spread, table
 
 #: A public byte-level vocabulary as ranks, and the pattern that splits text before its merges.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -199,7 +199,7 @@ def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _mix(spark: SparkSession, d: str) -> DataFrame:
-    return mix(table(spark, d, "documents", "doc_id", "source", "text"), table(spark, d, "mix_targets"))
+    return mix(spread(table(spark, d, "documents", "doc_id", "source", "text")), table(spark, d, "mix_targets"))
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:

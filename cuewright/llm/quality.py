@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import table
+from ..tables import spread, table
 from . import marks as M
 
 PIECE_CHARS = 65_536
@@ -392,12 +392,12 @@ def document_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", pie
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return document_stats(table(spark, d, "documents", "doc_id", "text")).where("kind <> 'prose'").select("doc_id", "kind")
+    return document_stats(spread(table(spark, d, "documents", "doc_id", "text"))).where("kind <> 'prose'").select("doc_id", "kind")
 
 
 def p9_stats(spark: SparkSession, d: str) -> DataFrame:
     """All statistics of all documents."""
-    return document_stats(table(spark, d, "documents", "doc_id", "text"))
+    return document_stats(spread(table(spark, d, "documents", "doc_id", "text")))
 
 
 QUERIES = {"p9_found": p9_found, "p9_stats": p9_stats}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import delivered_once, table
+from ..tables import delivered_once, partitioned, table
 from . import sentences as S
 
 #: Words of a run are decoded in blocks of this many word indices; a block also sees this many words
@@ -73,7 +73,7 @@ def by_run_blocks(words: DataFrame, columns: list[str], block: int = BLOCK_WORDS
     blocks = F.when(inside < halo, F.array(k - 1, k)).when(inside >= block - halo, F.array(k, k + 1)).otherwise(F.array(k))
     rows = words.where(F.col("run_id").isNotNull() & i.isNotNull()).select("run_id", "word_idx", *columns, F.explode(blocks).alias("_block"))
     rows = rows.where(F.col("_block") >= F.lit(0)) if halo else rows
-    return rows.repartition("run_id", "_block").sortWithinPartitions("run_id", "_block", "word_idx")
+    return partitioned(rows, "run_id", "_block").sortWithinPartitions("run_id", "_block", "word_idx")
 
 
 def each_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

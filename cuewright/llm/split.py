@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import base_lang, delivered_once, finite, table
+from ..tables import base_lang, delivered_once, finite, partitioned, table
 from . import sentences as S
 from .sentence_ops import BLOCK_WORDS, HALO_WORDS, WordBlock, by_run_blocks, each_group, fit_model
 
@@ -161,7 +161,7 @@ def split_items(items: DataFrame, sentences: DataFrame) -> DataFrame:
     # A start just before the span may fall into the bucket before it.
     keyed = sentences.withColumn("_bucket", F.floor((F.col("start_s") + SLACK_S) / BUCKET_S))
     pairs = spans.join(keyed, ["run_id", "_bucket"]).where(inside).drop("_bucket", "item_start", "item_end")
-    rows = pairs.repartition("run_id", "idx").sortWithinPartitions("run_id", "idx", "start_s", "first_idx")
+    rows = partitioned(pairs, "run_id", "idx").sortWithinPartitions("run_id", "idx", "start_s", "first_idx")
     schema = "run_id bigint, idx int, piece int, from_s double, to_s double, first_word_idx int, last_word_idx int, cut string, forced boolean"
     names = [f.split(" ")[0] for f in schema.split(", ")]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
