@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import base_lang, finite, table
+from ..tables import base_lang, finite, partitioned, table
 
 
 def ms(c: str) -> Column:
@@ -18,7 +18,8 @@ def ms(c: str) -> Column:
 
 def once(df: DataFrame, *keys: str) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(*[F.min(c).alias(c) for c in rest])
+    # Copies are few: one shuffle of the rows is cheaper than sorting them on both sides of it.
+    return partitioned(df, *keys).groupBy(*keys).agg(*[F.min(c).alias(c) for c in rest])
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:

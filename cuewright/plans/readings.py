@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import align as A
 from ..operators import intervals as I
 from ..operators import resegment as G
+from ..tables import partitioned
 from . import base as B
 
 
@@ -22,7 +23,7 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
     join = lambda a: F.concat_ws(" ", F.filter(a, lambda w: w != ""))
     cover = I.subtitle_coverage(B.cues(spark, d), s)
     r = s.select("run_id", "idx", F.col("text_src").alias("pivot"), F.when(seed % 5 != 0, join(verify)).alias("verify"), F.when(seed % 3 != 0, join(arbiter)).alias("arbiter"), (seed % 2).alias("attempts"))
-    return r.join(cover, ["run_id", "idx"], "left")
+    return partitioned(r.join(cover, ["run_id", "idx"], "left"), "run_id", "idx")
 
 
 def reading_comparison(spark: SparkSession, d: str) -> DataFrame:
