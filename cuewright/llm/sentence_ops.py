@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import delivered_once, partitioned, table
@@ -18,17 +18,29 @@ BLOCK_WORDS = 8192
 HALO_WORDS = 512
 
 
-def bounded_sample(df: DataFrame, keys: list[str], column: str, most: int) -> list[str]:
-    """At most ``most`` values of a column, those of the smallest key hashes: the same rows in every run."""
-    rows = df.where(F.col(column).isNotNull()).select(column, F.xxhash64(*keys).alias("_h")).orderBy("_h", column).limit(most).collect()
+def _rank(keys: list[str], weight: Column | None = None) -> Column:
+    """A number from 0 to 1 by key hash, divided by the weight: rows of a larger weight come first more often."""
+    h = F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(2**53))
+    return h if weight is None else h / weight
+
+
+def script_weight(text: Column) -> Column:
+    """Texts of scripts that are rare in a collection but have boundaries of their own count several times."""
+    return F.when(text.rlike("[\u0E00-\u0E7F]{4}"), 6.0).when(text.rlike("[\u3040-\u30FF]{2}|[\u3400-\u9FFF]{2}"), 3.0).otherwise(1.0)
+
+
+def bounded_sample(df: DataFrame, keys: list[str], column: str, most: int, weight: Column | None = None) -> list[str]:
+    """At most ``most`` values of a column, those of the smallest key ranks: the same rows in every run."""
+    rows = df.where(F.col(column).isNotNull()).select(column, _rank(keys, weight).alias("_h")).orderBy("_h", column).limit(most).collect()
     return [r[0] for r in rows]
 
 
 def fit_model(spark: SparkSession, d: str, units: int = S.SAMPLE_UNITS, texts: int = S.SAMPLE_TEXTS) -> S.Model:
     """The boundary model of a data folder, fitted on at most ``units`` cues and ``texts`` values of each field."""
-    cues = bounded_sample(table(spark, d, "cues", "run_id", "cue_idx", "text"), ["run_id", "cue_idx"], "text", units)
+    cues = bounded_sample(table(spark, d, "cues", "run_id", "cue_idx", "text"), ["run_id", "cue_idx"], "text", units, script_weight(F.col("text")))
     segments = table(spark, d, "segments", "run_id", "idx", "text_src", "text_target")
-    pairs = segments.select("text_src", "text_target", F.xxhash64("run_id", "idx").alias("_h")).orderBy("_h", "text_src", "text_target").limit(texts).collect()
+    weight = F.greatest(*[script_weight(F.coalesce(c, F.lit(""))) for c in ("text_src", "text_target")])
+    pairs = segments.select("text_src", "text_target", _rank(["run_id", "idx"], weight).alias("_h")).orderBy("_h", "text_src", "text_target").limit(texts).collect()
     return S.fit(cues, [t for r in pairs for t in r[:2]])
 
 

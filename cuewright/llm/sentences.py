@@ -34,6 +34,8 @@ MAX_SPAN = 400
 PAUSE_BOUNDS = (0.25, 0.55, 0.9)
 PAUSE_MARKED = (-0.3, 0.3, 0.8, 1.2)
 PAUSE_BARE = (-2.0, -0.7, 4.0, 5.0)
+#: Pause after fillers alone from which they are an utterance of their own, not the opening of the next sentence.
+FILLER_PAUSE = 0.2
 QUOTE_PENALTY = 4.0
 #: Weight and bound of the length density, for texts with marks and without.
 LENGTH_WEIGHT = {False: (0.1, 0.8), True: (0.2, 2.0)}
@@ -536,14 +538,14 @@ def stream_ends(words: list[str], starts, stops, model: Model) -> list[int]:
         thai = any("฀" <= c <= "໿" for c in sample)
         where, scores, sizes = char_candidates(text, model, is_bare or thai, at=at, pauses=pauses)
         if where:
-            _drop_filler_cuts(where, scores, sizes, lambda a, b: text[b - 1] == "…" and _fillers_only_text(text[a:b]) and not pauses[index[b]] >= PAUSE_BOUNDS[1])
+            _drop_filler_cuts(where, scores, sizes, lambda a, b: text[b - 1] == "…" and _fillers_only_text(text[a:b]) and not pauses[index[b]] >= FILLER_PAUSE)
         chosen = decode(sizes, scores, len(_compact(text)[0]), model.length["c"], is_bare and not thai, lambda a, b: text[where[a] if a >= 0 else 0 : where[b] if b < len(where) else len(text)])
         ends = [index[where[k]] for k in chosen]
     else:
         where, scores = word_candidates(filled, model, is_bare, pauses)
         sizes = list(where)
         if where:
-            _drop_filler_cuts(where, scores, sizes, lambda a, b: filled[b - 1].endswith(("...", "…")) and _only_fillers(filled[a:b]) and (filled[b][:1].islower() or not pauses[b - 1] >= PAUSE_BOUNDS[1]))
+            _drop_filler_cuts(where, scores, sizes, lambda a, b: filled[b - 1].endswith(("...", "…")) and _only_fillers(filled[a:b]) and not pauses[b - 1] >= FILLER_PAUSE)
         chosen = decode(sizes, scores, n, model.length["w"], is_bare, lambda a, b: " ".join(filled[where[a] if a >= 0 else 0 : where[b] if b < len(where) else n]))
         ends = [where[k] - 1 for k in chosen]
     if not ends or ends[-1] != n - 1:
@@ -691,7 +693,7 @@ def _guess(text: str) -> str:
     return max(words, key=lambda k: sum(low.count(w) for w in words[k]))
 
 
-def _logistic(X: list[list[str]], y: list[int], rounds: int, l2: float = 0.3) -> dict[str, float]:
+def _logistic(X: list[list[str]], y: list[int], rounds: int, l2: float = 2.0) -> dict[str, float]:
     """Regularised logistic regression by AdaGrad on the full sample; weights of seldom seen features are left out."""
     counts = Counter(f for x in X for f in x)
     ids = {f: i for i, f in enumerate(sorted(f for f, c in counts.items() if c >= 2))}

@@ -189,7 +189,7 @@ def _cut_at(text: str, k: int, limits: tuple, rng: random.Random, add, thai: boo
     add(head + mark, limits, 1, 1.0)
 
 
-def _solve(rows: list[tuple[list[int], int, float]], words: frozenset[str], rounds: int = 80, l2: float = 0.2, prior: float = 0.08) -> Model:
+def _solve(rows: list[tuple[list[int], int, float]], words: frozenset[str], rounds: int = 80, l2: float = 0.5, prior: float = 0.08) -> Model:
     """Weighted logistic regression by AdaGrad; the threshold keeps the error rates in balance at ``prior``."""
     if not rows:
         return Model(np.zeros(1 << BITS), words, 0.0)
