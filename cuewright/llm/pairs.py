@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,21 @@ REFUSALS = re.compile(
     re.I | re.X | re.S,
 )
 
+# What every refusal above has one of, in lower case: a cheap test before the long pattern.
+_REFUSAL_HINTS = (
+    "can't", "can’t", "cannot", "n't", "n’t", "unable", "not able", "not comfort", "won't", "won’t", "will not", "declin", "refus", " ai", "an ai", "artificial", "language model", "assistant", "polic", "guideline", "violat", "rather not", "prefer not",
+    "puedo", "podemos", "posible", "condiciones", "asistente", "modelo de", "como ia", "rechaz", "negarme", "rehusar", "niego", "cómod", "solicitud",
+    "peux pas", "peut pas", "pouvons pas", "puis pas", "mesure de", "en tant qu", "à l'aise", "à l’aise", "demande", "kann", "in der lage", "als ki", "assistent", "sprachmodell", "künstliche", "ablehn", "weigere", "fühle", "anfrage",
+    "không thể", "là một", "từ chối", "thoải mái", "无法", "不能", "没法", "不便", "不可以", "作为", "拒绝", "请求", "不愿", "不方便", "不适合", "不太", "できま", "できな", "できか", "かねます", "アシスタント", "言語モデル", "aiとして", "断り", "ブロック", "拒否", "控え", "遠慮",
+    "ไม่สามารถ", "ในฐานะ", "ปฏิเสธ", "คำขอ", "ไม่สะดวก", "ไม่สบาย",
+)
+
+
+def refused(text: str) -> bool:
+    low = text.lower()
+    return any(map(low.__contains__, _REFUSAL_HINTS)) and REFUSALS.search(text) is not None
+
+
 _WORD = re.compile(r"[^\W_]+(?:['’.-][^\W_]+)*")
 _DENSE = re.compile(r"[฀-๿぀-ヿ㐀-鿿豈-﫿]")
 
@@ -105,11 +121,14 @@ def only_names(tokens: list[str]) -> bool:
     return named > 0 and after_code
 
 
-def copied(prompt: str, response: str) -> bool:
+def copied(prompt: str, response: str, tokens: tuple[list[str], list[str]] | None = None) -> bool:
     """Whether the response repeats the prompt: most of its words, and runs of them, are the prompt's."""
-    a, b = _tokens(prompt), _tokens(response)
+    a, b = tokens if tokens else (_tokens(prompt), _tokens(response))
     if not a or not b or only_names(a):
         return False
+    known = set(a)
+    if sum(w in known for w in b) < 0.5 * len(b):
+        return False
     common = Counter(a) & Counter(b)
     plain = lambda ws: [w for w in ws if not _is_code(w)]
     pa_, pb = plain(a), plain(b)
@@ -142,39 +161,56 @@ class Languages:
             n = sum(v for f, v in c.items() if f in keep) + 0.5 * len(keep)
             self.logs[lang] = {f: math.log((v + 0.5) / n) for f, v in c.items() if f in keep}
             self.unseen[lang] = math.log(0.5 / n)
-        self.keep = frozenset(keep)
+        self.names = sorted(self.logs)
+        self.rows: dict[str, np.ndarray] = {}
+        for f in keep:
+            self.rows[f] = np.array([self.logs[x].get(f, self.unseen[x]) for x in self.names])
+        del self.logs
+        self.memo: dict[str, np.ndarray | None] = {}
+
+    def __getstate__(self):
+        return self.names, self.rows
+
+    def __setstate__(self, s):
+        self.names, self.rows = s
+        self.memo = {}
 
     @staticmethod
-    def features(text: str) -> list[str]:
-        f = []
-        for w in _tokens(text):
-            if _is_code(w):
-                continue
-            f.append("w" + w)
-            if not _DENSE.match(w):
-                p = f"^{w}$"
-                f += [p[i : i + 3] for i in range(len(p) - 2)]
-        return f
-
-    def scores(self, text: str) -> dict[str, float]:
-        """Log-likelihood by language, over at most the text's own features that were seen in fitting."""
-        f = [x for x in self.features(text) if x in self.keep]
-        return {lang: sum(logs.get(x, self.unseen[lang]) for x in f) for lang, logs in self.logs.items()} if f else {}
-
-
-def wrong_language(response: str, source: str | None, target: str | None, known: Languages) -> bool:
+    def word_features(w: str) -> list[str]:
+        p = f"^{w}$"
+        return ["w" + w] if _DENSE.match(w) else ["w" + w, *(p[i : i + 3] for i in range(len(p) - 2))]
+
+    @classmethod
+    def features(cls, text: str) -> list[str]:
+        return [f for w in _tokens(text) if not _is_code(w) for f in cls.word_features(w)]
+
+    def scores(self, words: list[str]) -> dict[str, float]:
+        """Log-likelihood of a text's words by language, over the features that were seen in fitting."""
+        total = None
+        for w in words:
+            if w not in self.memo:
+                if len(self.memo) > 200_000:
+                    self.memo.clear()
+                seen = [] if _is_code(w) else [self.rows[f] for f in self.word_features(w) if f in self.rows]
+                self.memo[w] = np.sum(seen, axis=0) if seen else None
+            v = self.memo[w]
+            if v is not None:
+                total = v.copy() if total is None else total + v
+        return {} if total is None else dict(zip(self.names, total.tolist()))
+
+
+def wrong_language(words: list[str], source: str | None, target: str | None, known: Languages) -> bool:
     """Whether another language explains the response clearly better than the pair's two languages."""
-    if only_names(_tokens(response)):
+    if only_names(words):
         return False
-    s = known.scores(response)
+    s = known.scores(words)
     if not s:
         return False
     mine = [s[x] for x in (source, target) if x in s]
     if not mine:
         return False
     best = max(s, key=s.get)
-    words = len(_tokens(response))
-    return best not in (source, target) and s[best] - max(mine) > LANGUAGE_MARGIN + 0.15 * words
+    return best not in (source, target) and s[best] - max(mine) > LANGUAGE_MARGIN + 0.15 * len(words)
 
 
 def defects(prompt: str | None, response: str | None, source: str | None, target: str | None, known: Languages, cut: bool) -> list[str]:
@@ -183,13 +219,14 @@ def defects(prompt: str | None, response: str | None, source: str | None, target
         return []
     plain = M.unescape(response)[0] if response else ""
     found = []
-    if REFUSALS.search(plain) and not (REFUSALS.search(prompt) and copied(prompt, response)):
+    if refused(plain) and not (refused(prompt) and copied(prompt, response)):
         found.append("refusal")
     elif empty(response):
         return ["empty"]
-    if copied(prompt, response):
+    words = _tokens(response)
+    if copied(prompt, response, (_tokens(prompt), words)):
         found.append("copy")
-    if wrong_language(response, source, target, known):
+    if wrong_language(words, source, target, known):
         found.append("wrong_language")
     if cut:
         found.append("truncated")
