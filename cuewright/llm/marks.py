@@ -24,7 +24,7 @@ FILLERS = {
 }
 
 #: Bracketed or starred remarks of up to 40 characters, music notes, clock times.
-NOTE = re.compile(r"\[[^\[\]\n]{0,40}\]|【[^】\n]{0,40}】|\{[^{}\n]{0,40}\}|<[^<>\n]{1,40}>|\*[^*\n]{1,40}\*|♪[^♪\n]{0,40}♪|[♪♫]+|\([^()\n]{1,40}\)|（[^（）\n]{1,40}）")
+NOTE = re.compile(r"\[[^\[\]\n]{0,40}\]|【[^】\n]{0,40}】|\{[^{}\n]{0,40}\}|<[^<>\n]{1,40}>|\*[^*\n]{1,40}\*|♪[^♪\n]{0,40}♪|[♪♫]+|＜[^＜＞\n]{1,40}＞|［[^［］\n]{0,40}］|〔[^〔〕\n]{0,40}〕|\([^()\n]{1,40}\)|（[^（）\n]{1,40}）")
 CLOCK = re.compile(r"(?<![\d:.])(?:\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?(?![\d:])(?: -(?= ))?")
 ESCAPE = re.compile(r"&(?:#\d{1,7}|#x[0-9a-fA-F]{1,6}|[a-zA-Z]{2,8});")
 #: A speaker label that opens a value.
@@ -66,7 +66,7 @@ def _blank_note(m: re.Match) -> str:
 
 def speech(text: str) -> str:
     """The text with notes, clock times and an opening speaker label blanked, at its old length."""
-    if any(c in text for c in "[【{<*♪♫(（"):
+    if any(c in text for c in "[【{<*♪♫＜［〔(（"):
         text = NOTE.sub(_blank_note, text)
     if ":" in text:
         text = CLOCK.sub(_blank, text)
@@ -76,15 +76,14 @@ def speech(text: str) -> str:
     return text
 
 
+_UNSPACED = re.compile("[\u0E00-\u0EFF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF]")
+_LETTER = re.compile(r"[^\W\d_]")
+
+
 def is_unspaced(text: str) -> bool:
     """Whether most letters of the text are of a script written without spaces between words."""
-    dense = other = 0
-    for c in text[:600] if len(text) > 600 else text:
-        if c > "฀":
-            o = ord(c)
-            if 0x0E00 <= o <= 0x0EFF or 0x3040 <= o <= 0x30FF or 0x3400 <= o <= 0x9FFF or 0xF900 <= o <= 0xFAFF:
-                dense += 1
-                continue
-        if c.isalpha():
-            other += 1
-    return dense * 3 > other  # one such character stands for several letters
+    if text.isascii():
+        return False
+    dense = len(_UNSPACED.findall(text))
+    # One such character stands for several letters.
+    return bool(dense) and dense * 3 > len(_LETTER.findall(text)) - dense

@@ -75,7 +75,7 @@ class Model:
 def norm(token: str) -> str:
     """A word for comparison: lower case, outer punctuation off, digits as one sign."""
     t = token.strip(_STRIP).lower()
-    return _DIGITS.sub("#", t) if any(c.isdigit() for c in t) else t
+    return t if t.isalpha() else _DIGITS.sub("#", t)
 
 
 # -- features ------------------------------------------------------------------------------------
@@ -453,8 +453,13 @@ def decode(sizes: list[int], scores: list[float], total: int, length: tuple[floa
 
 
 def _only_fillers(words: list[str]) -> bool:
-    seen = [w for w in (norm(x) for x in words) if w]
-    return bool(seen) and all(w in _FILLER_WORDS for w in seen)
+    seen = False
+    for x in words:
+        w = norm(x)
+        if w and w not in _FILLER_WORDS:
+            return False
+        seen = seen or bool(w)
+    return seen
 
 
 def _fillers_only_text(text: str) -> bool:
