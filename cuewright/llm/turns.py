@@ -39,12 +39,12 @@ _spaced_fillers = "|".join(re.escape(f).replace(r"\ ", r"\s+") for f in _FILLER_
 _TOKEN = re.compile(
     rf"""(?P<clock>[\[(<]?(?<![\d:.])(?:\d{{1,2}}:)?\d{{1,2}}:\d{{2}}(?:[.,]\d{{1,3}})?(?![\d:])[\])>]?)
     |(?P<tag>\[[A-Z]\]|<[A-ZÀ-Þ][\w'’-]*(?:\ [A-ZÀ-Þ][\w'’-]*)?>)
-    |(?P<note>\[[^\[\]\n]{{0,40}}\]|【[^】\n]{{0,40}}】|\{{[^{{}}\n]{{0,40}}\}}|<[^<>\n]{{1,40}}>|\*[^*\n]{{1,40}}\*|♪[^♪\n]{{0,40}}♪|[♪♫]+|\([^()\n]{{1,40}}\)|（[^（）\n]{{1,40}}）)
+    |(?P<note>\[[^\[\]\n]{{0,40}}\]|【[^】\n]{{0,40}}】|\{{[^{{}}\n]{{0,40}}\}}|<[^<>\n]{{1,40}}>|\*[^*\n]{{1,40}}\*|♪[^♪\n]{{0,40}}♪|[♪♫]+|＜[^＜＞\n]{{1,40}}＞|［[^［］\n]{{0,40}}］|〔[^〔〕\n]{{0,40}}〕|\([^()\n]{{1,40}}\)|（[^（）\n]{{1,40}}）)
     |(?P<label>(?:>>\s*|[-–—]\s*)?(?:(?:[Ss]peaker|SPEAKER|Spkr\.?)[\ _-]?[A-Z0-9]{{1,2}}|[A-ZÀ-Þ][\w'’-]*(?:\ [A-ZÀ-Þ][\w'’-]*){{0,2}})\s?:(?=\s|$))
     |(?P<dash>>>|(?<!\S)[-–—](?=\s))
     |(?P<filler>(?<![^\W_])(?:{_spaced_fillers})(?![^\W_'’-])|(?:{_dense_fillers}))
     |(?P<dense>[{_DENSE}](?:[{_DENSE}]*?(?=(?:[、，。…！？；：\s]|[^{_DENSE}]|$))))
-    |(?P<word>[^\s{_DENSE}\[【{{<♪(（]+)
+    |(?P<word>[^\s{_DENSE}\[【{{<♪＜［〔(（]+)
     |(?P<other>[^\s])""",
     re.X | re.I,
 )
@@ -67,7 +67,7 @@ EMIT = {
 #: Shapes that a single state emits.
 ONLY = {k: next(s for s in STATES if k in EMIT[s]) for k in {k for e in EMIT.values() for k in e} if sum(k in e for e in EMIT.values()) == 1}
 #: Whether a text holds anything but plain speech.
-_SPECIAL = re.compile(rf"[\[\](){{}}<>*♪♫【（]|\d:\d|^\s*\S+(?: \S+){{0,2}}\s?:|(?<!\S)[-–—](?=\s)|(?<![^\W_])(?:{_spaced_fillers})(?![^\W_'’-])|{_dense_fillers}", re.I)
+_SPECIAL = re.compile(rf"[\[\](){{}}<>*♪♫【（＜［〔]|\d:\d|^\s*\S+(?: \S+){{0,2}}\s?:|(?<!\S)[-–—](?=\s)|(?<![^\W_])(?:{_spaced_fillers})(?![^\W_'’-])|{_dense_fillers}", re.I)
 
 
 def shapes(text: str) -> list[tuple[str, int, int]]:
