@@ -76,6 +76,8 @@ def speech(text: str) -> str:
     return text
 
 
+#: Scripts without spaces between words that put spaces between sentences.
+SPACED_SENTENCES = re.compile("[\u0E00-\u0EFF]")
 _UNSPACED = re.compile("[\u0E00-\u0EFF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF]")
 _LETTER = re.compile(r"[^\W\d_]")
 

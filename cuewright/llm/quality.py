@@ -133,7 +133,7 @@ def _pairs(items: list[str]) -> np.ndarray:
 
 def _edge_words(text: str) -> tuple[str, str]:
     """First and last word as they enter word pairs; empty for a script without spaces."""
-    if not text or len(_DENSE.findall(text[:2000])) * 3 > len(text[:2000]):
+    if not text or len(_DENSE.findall(text)) * 3 > len(text):
         return "", ""
     head, tail = text[:4096].split(), text[-4096:].split()
     trim = lambda w: w.strip(".,;:!?'\"()“”«»…").lower()[:256]

@@ -515,7 +515,7 @@ def sentence_ends(text: str, model: Model) -> list[int]:
     if not said.strip(_STRIP):
         return []
     if M.is_unspaced(said):
-        thai = "฀" <= max(said[:400]) and any("฀" <= c <= "໿" for c in said[:400])
+        thai = M.SPACED_SENTENCES.search(said) is not None
         is_bare = thai or bare(said)
         where, scores, sizes = char_candidates(said, model, is_bare, spaced=thai)
         total = len(_compact(said)[0])
@@ -552,18 +552,17 @@ def stream_ends(words: list[str], starts, stops, model: Model) -> list[int]:
     if n > 1:
         gap = np.asarray(starts[1:], dtype=float) - np.asarray(stops[:-1], dtype=float)
         pauses[: n - 1] = gap.tolist()
-    sample = "".join(filled[:400])
     marked = sum(1 for w in filled if w[-1] in ".!?…。！？,;:、，；：\"”»」" or w[-1] in M.CLOSERS)
     # Marks stand after one word in six or so; a few survive where they were taken out.
     is_bare = marked <= 0.04 * n
-    if M.is_unspaced(sample):
-        text = "".join(filled)
+    text = "".join(filled)
+    if M.is_unspaced(text):
         at, k = [], 0
         for w in filled:
             k += len(w)
             at.append(k)
         index = {e: i for i, e in enumerate(at)}
-        thai = any("฀" <= c <= "໿" for c in sample)
+        thai = M.SPACED_SENTENCES.search(text) is not None
         where, scores, sizes = char_candidates(text, model, is_bare or thai, at=at, pauses=pauses)
         if where:
             alone = FILLER_PAUSE[is_bare or thai]

@@ -138,7 +138,7 @@ def fit(values: list[tuple[str, tuple]], seed: int = 11) -> Model:
         if not said.strip(_STRIP):
             continue
         n, size = len(text), len(text.encode())
-        thai = any("฀" <= c <= "๿" for c in said[:200])
+        thai = M.SPACED_SENTENCES.search(said) is not None
         unmarked = thai or bare(said)
         at_limit = n in limits[0] or any(b - 4 < size <= b + 2 for b in limits[1])
         if at_limit or not (unmarked or _ENDED.search(said)):
