@@ -108,7 +108,9 @@ def _entry(line: str, words: list[str], dense: int) -> tuple[bool, bool, str]:
 def _table(line: str) -> bool:
     if line.count("\t") >= 2 or line.count("|") >= 2:
         return True
-    if len(_GAPS.findall(line)) >= 2:
+    gaps = len(_GAPS.findall(line))
+    # Columns kept apart by spaces hold a few words each; loose spacing in prose does not.
+    if gaps >= 2 and len(line.split()) <= 3 * (gaps + 1) and not _SENTENCE_END.search(line):
         return True
     tight = len(_TIGHT.findall(line))
     return tight >= 3 and tight >= 0.25 * (line.count(" ") + 1)
