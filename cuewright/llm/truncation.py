@@ -127,6 +127,7 @@ def fit(values: list[tuple[str, tuple]], seed: int = 11) -> Model:
         counts.update({norm(t) for t in said.split()[:-1]} if not M.is_unspaced(said) else {norm(t) for t in re.findall(r"[A-Za-z][\w.-]*(?=.)", said[:-12])})
     words = frozenset(w for w, c in counts.items() if c >= 2 and w)
     rows: list[tuple[list[int], int, float]] = []
+    known = sorted({x for _, x in values if x[0] or x[1]}, key=lambda x: (sorted(x[0]), sorted(x[1])))
 
     def add(text: str, limits: tuple, label: int, weight: float) -> None:
         f = features(text, limits, words)
@@ -154,16 +155,9 @@ def fit(values: list[tuple[str, tuple]], seed: int = 11) -> Model:
         if n > 12:
             for _ in range(2):
                 _cut(text, limits, rng, add, thai)
-            for k in limits[0]:
-                if k < n:
-                    if rng.random() < 0.4:  # some fields end cut values with an ellipsis inside the limit
-                        _cut_at(text, k - 1, limits, rng, add, thai, mark="…")
-                    else:
-                        _cut_at(text, k, limits, rng, add, thai)
-            for k in limits[1]:
-                if k < size:
-                    t = text.encode()[:k].decode(errors="ignore" if rng.random() < 0.5 else "replace")
-                    _cut_at(text, len(t), limits, rng, add, thai, t)
+            # A limited field holds no value over its limit, so values of other fields are cut at it.
+            for other in rng.sample(known, min(2, len(known))):
+                _cut_to(text, n, size, other, rng, add, thai)
     return _solve(rows, words)
 
 
@@ -177,6 +171,19 @@ def _cut(text: str, limits: tuple, rng: random.Random, add, thai: bool) -> None:
     _cut_at(text, k, limits, rng, add, thai)
 
 
+def _cut_to(text: str, n: int, size: int, limits: tuple, rng: random.Random, add, thai: bool) -> None:
+    for k in sorted(limits[0]):
+        if k < n:
+            if rng.random() < 0.4:  # some fields end cut values with an ellipsis inside the limit
+                _cut_at(text, k - 1, limits, rng, add, thai, mark="…")
+            else:
+                _cut_at(text, k, limits, rng, add, thai)
+    for k in sorted(limits[1]):
+        if k < size:
+            t = text.encode()[:k].decode(errors="ignore" if rng.random() < 0.5 else "replace")
+            _cut_at(text, len(t), limits, rng, add, thai, t)
+
+
 def _cut_at(text: str, k: int, limits: tuple, rng: random.Random, add, thai: bool, head: str | None = None, mark: str = "") -> None:
     head = text[:k] if head is None else head
     rest = text[k:]
