@@ -62,3 +62,13 @@ def hash_chain(rows: DataFrame, key: str, order: str, own: str) -> DataFrame:
 
     chained = per.withColumn("cs", F.aggregate("xs", zero, step, lambda acc: acc["out"]))
     return chained.select(key, F.explode(F.arrays_zip("xs", "cs")).alias("z")).select(key, F.col("z.xs.o").alias(order), F.col("z.cs").alias("chain"))
+
+
+def manifest_rows(outputs: DataFrame, keys: list[str], stage: str, finalized: Column | None = None) -> DataFrame:
+    """Manifest entries of outputs (``keys, fingerprint, output``): hash, size and time, to be appended to the manifest.
+
+    An output that is not ``finalized`` is durable but stays to be done again.
+    """
+    done = F.lit(True) if finalized is None else F.coalesce(finalized, F.lit(False))
+    return outputs.select(
+        *keys, F.lit(stage).alias("stage"), "fingerprint", F.sha2("output", 256).alias("output_sha256"), F.octet_length("output").alias("size"), F.current_timestamp().alias("written_at"), done.alias("finalized"), "output")

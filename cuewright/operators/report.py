@@ -102,3 +102,11 @@ def problems(*checks: DataFrame) -> DataFrame:
     for c in checks[1:]:
         found = found.unionByName(c.select("subject", "problem"))
     return found.distinct()
+
+
+def summary_lines(reports: DataFrame) -> DataFrame:
+    """``run_id, report, summary``: a run's report as JSON and as one line for people."""
+    counts = [c for c in reports.columns if c.startswith("n_")]
+    named = [F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(" " + c[2:].replace("_", " ")))) for c in counts]
+    line = F.concat(F.col("state"), F.lit(", exit "), F.col("exit_code").cast("string"), F.when(F.concat_ws("", *named) != "", F.concat(F.lit(": "), F.concat_ws(", ", *named))).otherwise(F.lit("")))
+    return reports.select("run_id", F.to_json(F.struct(*[c for c in reports.columns])).alias("report"), line.alias("summary"))

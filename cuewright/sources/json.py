@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORDS_RESPONSE = "status string, text string, words array<struct<start:bigint,end:bigint,text:string,speaker:string>>, utterances array<struct<start:bigint,end:bigint,text:string,speaker:string>>"
@@ -61,3 +61,14 @@ def requested_items(requested: DataFrame, replies: DataFrame) -> DataFrame:
     j = requested.join(items, ["batch", "i"], "left")
     bad = j.where("text is null").select("batch").distinct().withColumn("_bad", F.lit(True))
     return j.join(bad, "batch", "left").select("batch", "i", F.when(F.col("_bad").isNull(), F.col("text")).alias("text"))
+
+
+def first_audio(parts: Column) -> Column:
+    """The bytes of the first part with data, out of base64; null (to be retried) if no part has any."""
+    return F.unbase64(F.get(F.filter(parts, lambda p: p["data"].isNotNull()), F.lit(0))["data"])
+
+
+def speaker_utterances(utterances: DataFrame, key: str) -> DataFrame:
+    """``key, utterances``: one JSON list per key in order, as the artifact of a diarised transcript."""
+    listed = F.array_sort(F.collect_list(F.struct("utt_idx", "speaker", "text", "start_s", "end_s")))
+    return utterances.groupBy(key).agg(F.to_json(F.transform(listed, lambda u: u.dropFields("utt_idx"))).alias("utterances"))

@@ -101,6 +101,17 @@ def test_report(spark):
     assert sorted_rows(Q.bad_override_keys(o, n)) == [(1, "garbage"), (1, "seg_0050")]
 
 
+def test_sinks(spark):
+    p = spark.createDataFrame([([(None,), ("aGk=",)],), ([],), (None,)], "p array<struct<data:string>>")
+    assert [r[0] and bytes(r[0]) for r in p.select(J.first_audio(F.col("p"))).collect()] == [b"hi", None, None]
+    u = spark.createDataFrame([(1, 1, "B", "b", 1.0, 2.0), (1, 0, "A", "a", 0.0, 1.0)], "k int, utt_idx int, speaker string, text string, start_s double, end_s double")
+    assert [x["speaker"] for x in json.loads(J.speaker_utterances(u, "k").first()["utterances"])] == ["A", "B"]
+    m = N.manifest_rows(spark.createDataFrame([(1, "f", "hi"), (2, "g", None)], "k int, fingerprint string, output string"), ["k"], "asr", F.col("output").isNotNull())
+    assert sorted_rows(m.select("k", "stage", "size", "finalized")) == [(1, "asr", 2, True), (2, "asr", None, False)]
+    r = spark.createDataFrame([(1, "completed", 2, 0, 2), (2, "completed", 0, 0, 0)], "run_id bigint, state string, n_skipped int, n_keep int, exit_code int")
+    assert [x["summary"] for x in Q.summary_lines(r).orderBy("run_id").collect()] == ["completed, exit 2: 2 skipped", "completed, exit 0"]
+
+
 def test_verdict_scan_skips_decoys(spark, tmp_path):
     for name, body in {"seg_0002.json": {"decision": "replace"}, "seg_0007.json": {"decision": "keep", "extra": 1}, "seg_0050.granite.json": {"decision": "replace"}, "seg_0002.json.meta.json": {"decision": "replace"}}.items():
         (tmp_path / name).write_text(json.dumps(body))
