@@ -113,7 +113,7 @@ def test_sinks(spark):
 
 
 def test_verdict_scan_skips_decoys(spark, tmp_path):
-    for name, body in {"seg_0002.json": {"decision": "replace"}, "seg_0007.json": {"decision": "keep", "extra": 1}, "seg_0050.granite.json": {"decision": "replace"}, "seg_0002.json.meta.json": {"decision": "replace"}}.items():
+    for name, body in {"seg_0002.json": {"decision": "replace"}, "seg_0007.json": {"decision": "keep", "extra": 1}, "seg_0050.verify.json": {"decision": "replace"}, "seg_0002.json.meta.json": {"decision": "replace"}}.items():
         (tmp_path / name).write_text(json.dumps(body))
     (tmp_path / "seg_0009.json").write_text('{"decision": "rep')
     got = J.read_artifacts(spark, str(tmp_path), "decision string, winner string", r"seg_\d+\.json")
