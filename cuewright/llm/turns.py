@@ -267,18 +267,21 @@ def _by_words(unnamed: DataFrame, words: DataFrame) -> DataFrame:
     """``run_id, idx, by_words``: the speaker of the words in the span of a segment.
 
     Words that occur in the segment's own text count before others, since spans overlap; then the
-    number of words decides, then the earliest word. Joined on the run and a time bucket.
+    number of words decides, then the earliest word. Joined on the run and a time bucket. A word
+    delivered twice counts once: only the words inside a span are reduced, by ``word_idx`` or, where
+    the words have none, by their content.
     """
     bucket = lambda c: F.floor(F.col(c) / BUCKET_S)
     # An open or reversed span is taken to last as long as its text is read.
     end = F.when(F.col("end_s") > F.col("start_s"), F.col("end_s")).otherwise(F.col("start_s") + 0.5 + READ_S * F.length("text_src"))
     spans = unnamed.where(F.col("start_s").isNotNull() & ~F.isnan("start_s")).withColumn("end_s", end).select("run_id", "idx", "start_s", "end_s", F.lower("text_src").alias("said"), F.explode(F.sequence(bucket("start_s"), bucket("end_s"))).alias("_bucket"))
-    heard = words.where(F.col("speaker").isNotNull() & F.col("word").isNotNull()).select("run_id", F.col("start_s").alias("ws"), F.col("end_s").alias("we"), "word", F.col("speaker").alias("heard"), bucket("start_s").alias("_bucket"))
+    key = ["word_idx"] if "word_idx" in words.columns else []
+    heard = words.where(F.col("speaker").isNotNull() & F.col("word").isNotNull()).select("run_id", F.col("start_s").alias("ws"), F.col("end_s").alias("we"), "word", F.col("speaker").alias("heard"), bucket("start_s").alias("_bucket"), *key)
     inside = (F.col("ws") >= F.col("start_s") - 0.001) & (F.col("we") <= F.col("end_s") + 0.001)
     core = F.lower(F.regexp_replace("word", r"^[\p{P}\s]+|[\p{P}\s]+$", ""))
-    pairs = spans.join(heard, ["run_id", "_bucket"]).where(inside).select("run_id", "idx", "heard", "ws", F.contains("said", core).cast("int").alias("own"))
-    # A word delivered twice counts once.
-    votes = pairs.groupBy("run_id", "idx", "heard").agg(F.sum("own").alias("own"), F.count(F.lit(1)).alias("n"), F.min("ws").alias("first"))
+    pairs = spans.join(heard, ["run_id", "_bucket"]).where(inside).select("run_id", "idx", "heard", "ws", "we", "word", F.contains("said", core).cast("int").alias("own"), *key)
+    once = pairs.groupBy("run_id", "idx", *(key or ["heard", "ws", "we", "word"])).agg(F.min(F.struct("heard", "ws", "own")).alias("x")).select("run_id", "idx", "x.*")
+    votes = once.groupBy("run_id", "idx", "heard").agg(F.sum("own").alias("own"), F.count(F.lit(1)).alias("n"), F.min("ws").alias("first"))
     best = F.max_by("heard", F.struct("own", "n", -F.col("first")))
     return votes.groupBy("run_id", "idx").agg(best.alias("by_words"))
 
@@ -346,7 +349,7 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     model = fit(bounded_sample(table(spark, d, "segments", "run_id", "idx", "text_src"), ["run_id", "idx"], "text_src", SAMPLE_TEXTS))
     segments = delivered_once(table(spark, d, "segments", "run_id", "idx", "start_s", "end_s", "speaker", "text_src", "loaded_at"), "run_id", "idx")
     cast = table(spark, d, "speakers", "run_id", "speaker", "display_name")
-    words = table(spark, d, "words", "run_id", "start_s", "end_s", "word", "speaker")
+    words = table(spark, d, "words", "run_id", "word_idx", "start_s", "end_s", "word", "speaker")
     return turns(name_segments(segments, cast, words, model))
 
 

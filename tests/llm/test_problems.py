@@ -112,6 +112,13 @@ def test_turns(spark):
     assert turns.turns(named.where("false")).count() == 0
 
 
+def test_words_delivered_twice_vote_once(spark):
+    rows = [(1, 0, 0.0, 10.0, None, "It failed again."), (2, 0, 0.0, 10.0, None, "It failed again.")]
+    words = [(1, 0, 1.0, 1.5, "It", "B"), (1, 1, 2.0, 2.5, "failed", "A"), (1, 2, 3.0, 3.5, "again.", "A"), (2, 0, 1.0, 1.5, "It", "B"), (2, 1, 1.0, 1.5, "It", "B"), (2, 2, 3.0, 3.5, "failed", "A")]
+    df = spark.createDataFrame(words + words[:1] * 3, "run_id bigint, word_idx int, start_s double, end_s double, word string, speaker string")
+    assert sorted_rows(turns._by_words(_segs(spark, rows), df)) == [(1, 0, "A"), (2, 0, "B")]
+
+
 def test_turns_over_time_blocks(spark):
     rows = [(1, i, float(i * 100), float(i * 100 + 50), "x", "AB"[i // 25 % 2]) for i in range(100)]
     df = spark.createDataFrame(rows, "run_id bigint, idx int, start_s double, end_s double, clean_text string, letter string")
