@@ -194,8 +194,12 @@ def previous_translations(lines: DataFrame, size: int, last: int) -> DataFrame:
     w = Window.partitionBy("run_id").orderBy("idx")
     x = lines.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
     # Only the last ones of each batch can be among the last ones before a later batch.
-    own = x.where(F.col("text").isNotNull()).groupBy("run_id", "batch").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("idx", "text")))), 1, max(last, 1)).alias("t"))
-    all_ = x.select("run_id", "batch").distinct().join(own, ["run_id", "batch"], "left").withColumn("t", F.coalesce("t", F.array().cast("array<struct<idx:int,text:string>>")))
-    before = F.flatten(F.collect_list("t").over(Window.partitionBy("run_id").orderBy("batch").rowsBetween(-max(last, 1) * 4, -1)))
-    recent = F.reverse(F.slice(F.reverse(F.array_sort(before)), 1, last)) if last else F.array().cast("array<struct<idx:int,text:string>>")
-    return all_.select("run_id", "batch", F.transform(recent, lambda v: v["text"]).alias("previous"))
+    said = F.collect_list(F.when(F.col("text").isNotNull(), F.struct("idx", "text")))
+    own = x.groupBy("run_id", "batch").agg(F.slice(F.reverse(F.array_sort(said)), 1, max(last, 1)).alias("t")).withColumn("has", F.size("t") > 0)
+    # Among batches that have any, ``last`` of them suffice; a batch then takes the state of the nearest one before it.
+    state = F.flatten(F.collect_list("t").over(Window.partitionBy("run_id", "has").orderBy("batch").rowsBetween(1 - max(last, 1), 0)))
+    upto = own.withColumn("state", F.when(F.col("has"), F.slice(F.reverse(F.array_sort(state)), 1, max(last, 1))))
+    before = F.last("state", True).over(Window.partitionBy("run_id").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1))
+    none = F.array().cast("array<struct<idx:int,text:string>>")
+    recent = F.reverse(F.coalesce(before, none)) if last else none
+    return upto.select("run_id", "batch", recent.alias("r")).select("run_id", "batch", F.transform("r", lambda v: v["text"]).alias("previous"))

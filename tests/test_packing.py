@@ -102,3 +102,12 @@ def test_profiles_and_voices(spark):
     assert cast(["A", ""]) == {"": "Adrian", "A": "Adrian"}
     assert cast("ABCDEF")["E"] == "Adrian" and cast("ABCDEF")["F"] == "Maya"
     assert cast("AB", pool=()) == {"A": "Adrian", "B": "Adrian"}
+
+
+def test_previous_translations_over_many_failed_batches(spark):
+    rows = [(1, i, f"t{i}" if i < 2 or i in (70, 71, 90) else None) for i in range(100)] + [(2, i, None) for i in range(8)]
+    df = spark.createDataFrame(rows, "run_id bigint, idx int, text string")
+    for last in (0, 1, 3):
+        got = {(r["run_id"], r["batch"]): r["previous"] for r in K.previous_translations(df, 2, last).collect()}
+        walk = lambda k, b: [t for r, i, t in rows if r == k and i < 2 * b and t][-last:] if last else []
+        assert got == {(k, b): walk(k, b) for k, n in ((1, 50), (2, 4)) for b in range(n)}
