@@ -331,17 +331,21 @@ def turns(said: DataFrame) -> DataFrame:
     """``run_id, first_idx, last_idx, speaker, start_s, end_s, text``: the turns of every run.
 
     Input as from :func:`name_segments`. Order is start_s, then idx; a segment without any speaker
-    takes the one before it. Segments without a start are left out. Turns are first built inside
-    time blocks, so a very large run is spread over tasks, then joined where blocks meet.
+    takes the one before it, those ahead of the first named segment of a run take its speaker. Segments
+    without a start are left out. Turns are first built inside time blocks, so a very large run is
+    spread over tasks, then joined where blocks meet; there the segments ahead of the first named one
+    of a block get the last speaker of the blocks before.
     """
     rows = said.where(F.col("start_s").isNotNull() & ~F.isnan("start_s"))
     rows = rows.withColumn("_block", F.floor(F.col("start_s") / BLOCK_S))
     back = Window.partitionBy("run_id", "_block").orderBy("start_s", "idx")
-    ahead = back.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    filled = rows.withColumn("letter", F.coalesce("letter", F.last("letter", True).over(back), F.first("letter", True).over(ahead)))
+    filled = rows.withColumn("letter", F.last("letter", True).over(back))
     part = F.struct("start_s", F.col("first_idx").alias("i"), F.col("clean_text").alias("t"))
     inside = _islands(filled.withColumn("first_idx", F.col("idx")).withColumn("last_idx", F.col("idx")), ["run_id", "_block"], F.array_sort(F.collect_list(part)))
-    joined = _islands(inside, ["run_id"], F.array_sort(F.flatten(F.collect_list("parts"))))
+    run = Window.partitionBy("run_id").orderBy("start_s", "first_idx")
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = inside.withColumn("letter", F.coalesce(F.last("letter", True).over(run), F.first("letter", True).over(whole)))
+    joined = _islands(carried, ["run_id"], F.array_sort(F.flatten(F.collect_list("parts"))))
     return joined.select("run_id", "first_idx", "last_idx", F.col("letter").alias("speaker"), "start_s", "end_s", F.concat_ws(" ", F.transform("parts", lambda p: p["t"])).alias("text"))
 
 

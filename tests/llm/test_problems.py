@@ -126,6 +126,25 @@ def test_turns_over_time_blocks(spark):
     assert got == [(0, 24), (25, 49), (50, 74), (75, 99)]
 
 
+def test_speakers_carry_over_time_blocks(spark):
+    rng = random.Random(4)
+    letters = {1: [None] * 3 + ["A"] + [None] * 8 + ["B"] + [None] * 30 + ["A", None]} | {k: [rng.choice("AB") if rng.random() < 0.1 else None for _ in range(80)] for k in (2, 3)}
+    rows = [(k, i, float(i * 100), float(i * 100 + 50), "x", x) for k, ls in letters.items() for i, x in enumerate(ls)]
+    want = []
+    for k, ls in letters.items():
+        last, spans = next(x for x in ls if x), []
+        for i, x in enumerate(ls):
+            last = x or last
+            if spans and spans[-1][3] == last:
+                spans[-1][2] = i
+            else:
+                spans.append([k, i, i, last])
+        want += map(tuple, spans)
+    df = spark.createDataFrame(rows, "run_id bigint, idx int, start_s double, end_s double, clean_text string, letter string")
+    got = turns.turns(df).select("run_id", "first_idx", "last_idx", "speaker")
+    assert sorted_rows(got) == sorted(want, key=repr)
+
+
 def test_chunk_rules():
     u = lambda *spans: [split.Unit(a, b, i, i * 7 + 1, True) for i, (a, b) in enumerate(spans)]
     assert split.chunk(u((0, 4), (4, 8), (8, 12)), 20, 1) == [(0, 2)]
