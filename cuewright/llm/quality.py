@@ -1,9 +1,9 @@
 """Per-document text statistics and what is not running prose (problem 9).
 
 A text is measured as a vector of counts that add up: the vector of a document is the sum of the
-vectors of its pieces, corrected where a piece starts inside a line or a word. Documents over
-PIECE_CHARS are cut into pieces, measured apart and merged in two levels; shares and rule outcomes
-are derived from the merged counts.
+vectors of its pieces, corrected where a piece starts inside a word. Documents over PIECE_CHARS are
+cut into pieces, measured apart and merged in two levels; a line that was cut is classified whole,
+and shares and rule outcomes are derived from the merged counts.
 """
 
 from __future__ import annotations
@@ -133,22 +133,52 @@ def _pairs(items: list[str]) -> np.ndarray:
         return (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
 
 
-def _edge_words(text: str) -> tuple[str, str]:
-    """First and last word as they enter word pairs; empty for a script without spaces."""
-    if not text or len(_DENSE.findall(text)) * 3 > len(text):
-        return "", ""
+def _edge_words(text: str, unspaced: bool) -> tuple[str, str]:
+    """First and last word as they enter word pairs; two characters at either end for a script without spaces."""
+    if unspaced:
+        return text[:2], text[-2:]
     head, tail = text[:4096].split(), text[-4096:].split()
     trim = lambda w: w.strip(".,;:!?'\"()“”«»…").lower()[:256]
     return (trim(head[0]), trim(tail[-1])) if head and tail else ("", "")
 
 
-def measure(text: str, pairs: set[int] | None = None) -> np.ndarray:
-    """The count vector of a piece of text; hashes of its word pairs go into ``pairs``."""
+def _kinds(text: str) -> np.ndarray:
+    return np.bincount(_classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)], minlength=8)
+
+
+def _unspaced(kinds: np.ndarray) -> bool:
+    dense = int(kinds[4] + kinds[5])
+    return dense * 3 > int(kinds[1]) + dense
+
+
+def _count_line(v: np.ndarray, line: str, dense: bool) -> None:
+    if not line.strip():
+        return
+    words = line.split()
+    d = len(_DENSE.findall(line)) if dense else 0
+    d = d if d * 3 > len(line) else 0
+    v[AT["lines"]] += 1
+    entry, marked, core = _entry(line, words, d)
+    v[AT["ends"]] += len(_SENTENCE_END.findall(core))
+    v[AT["ended_lines"]] += bool(_ENDS.search(line))
+    v[AT["entry_lines"]] += entry
+    v[AT["marked_lines"]] += marked
+    v[AT["table_lines"]] += _table(line)
+    v[AT["short0"] + min(9, len(words) if not d else d // 3)] += 1
+
+
+def measure(text: str, pairs: set[int] | None = None, opened: bool = False, left_open: bool = False, unspaced: bool | None = None) -> np.ndarray:
+    """The count vector of a piece of text; hashes of its word pairs go into ``pairs``.
+
+    The first line of a piece that starts inside a line (``opened``) and the last of one that ends
+    inside a line (``left_open``) are not counted as lines here; :func:`cut_lines` does. ``unspaced``
+    is whether the whole text counts as a script without spaces, by default judged by ``text``.
+    """
     v = np.zeros(len(NAMES), dtype=np.int64)
     n = len(text)
     if not n:
         return v
-    kinds = np.bincount(_classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)], minlength=8)
+    kinds = _kinds(text)
     dense = int(kinds[4] + kinds[5])
     letters = int(kinds[1]) + dense
     tokens = text.split()
@@ -173,25 +203,14 @@ def measure(text: str, pairs: set[int] | None = None) -> np.ndarray:
     v[AT["broken"]] = len(_BROKEN.findall(text))
     v[AT["pairs"]] = max(0, len(low) - 1)
     if pairs is not None:
-        if dense * 3 > letters:
+        if _unspaced(kinds) if unspaced is None else unspaced:
             low = [text[i : i + 2] for i in range(0, n - 1)]
             v[AT["pairs"]] = max(0, len(low) - 1)
         if len(low) > 1:
             pairs.update(np.unique(_pairs(low))[:SKETCH].tolist())
-    for line in text.split("\n"):
-        if not line.strip():
-            continue
-        words = line.split()
-        d = len(_DENSE.findall(line)) if dense else 0
-        d = d if d * 3 > len(line) else 0
-        v[AT["lines"]] += 1
-        entry, marked, core = _entry(line, words, d)
-        v[AT["ends"]] += len(_SENTENCE_END.findall(core))
-        v[AT["ended_lines"]] += bool(_ENDS.search(line))
-        v[AT["entry_lines"]] += entry
-        v[AT["marked_lines"]] += marked
-        v[AT["table_lines"]] += _table(line)
-        v[AT["short0"] + min(9, len(words) if not d else d // 3)] += 1
+    lines = text.split("\n")
+    for line in lines[int(opened) : len(lines) - left_open]:
+        _count_line(v, line, dense > 0)
     return v
 
 
@@ -214,23 +233,50 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[tuple[str, bool, bool
         at, in_line, in_word = end, line, word
 
 
+def cut_lines(text: str, size: int = PIECE_CHARS) -> Iterator[tuple[str, bool, bool, bool, list[int]]]:
+    """The pieces of a text: (piece, starts inside a line, ends inside one, starts inside a word, counts of the line left open).
+
+    A line that was cut is counted whole, with the piece in which it starts.
+    """
+    at = 0
+    cuts = pieces(text, size)
+    now = next(cuts, None)
+    while now is not None:
+        after = next(cuts, None)
+        piece, in_line, in_word = now
+        end = at + len(piece)
+        left_open = after is not None and after[1]
+        v = np.zeros(len(NAMES), dtype=np.int64)
+        start = piece.rfind("\n") + 1
+        if left_open and (start or not in_line):
+            stop = text.find("\n", end)
+            _count_line(v, text[at + start : stop if stop >= 0 else len(text)], True)
+        yield piece, in_line, left_open, in_word, v.tolist()
+        at, now = end, after
+
+
 def smallest(hashes, k: int = SKETCH) -> list[int]:
     return sorted(set(hashes))[:k]
 
 
 def join_pieces(a: tuple, b: tuple) -> tuple:
-    """Associative merge of (vector, sketch, starts inside a line, inside a word, first word, last word).
+    """Associative merge of (vector, sketch, starts inside a word, script without spaces, first word, last word).
 
-    Counts add; a line or word that was cut counts once; the pair of words over the seam is added.
-    In scripts without spaces the pairs are runs of characters, and the few over a seam are left out.
+    Counts add; a word that was cut counts once; the pairs over the seam are added. In scripts
+    without spaces these are runs of characters, and the edges hold two of them.
     """
     v = a[0] + b[0]
     seam = []
     if b[2]:
-        v[AT["lines"]] -= 1
-    if b[3]:
         v[AT["words"]] -= 1
-    elif a[5] and b[4]:
+    if a[3]:
+        edge = a[5] + b[4]
+        low = [edge[i : i + 2] for i in range(len(edge) - 1)]
+        if len(low) > 1:
+            v[AT["pairs"]] += len(low) - 1
+            seam = _pairs(low).tolist()
+        return v, smallest([*a[1], *b[1], *seam]), a[2], a[3], (a[4] + b[4])[:2], (a[5] + b[5])[-2:]
+    if not b[2] and a[5] and b[4]:
         v[AT["pairs"]] += 1
         seam = _pairs([a[5], b[4]]).tolist()
     return v, smallest([*a[1], *b[1], *seam]), a[2], a[3], a[4] or b[4], b[5] or a[5]
@@ -342,27 +388,30 @@ def document_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", pie
     long = F.length(text) > piece
     small = source.where(~F.coalesce(long, F.lit(False))).mapInArrow(whole, f"{key} {kinds[key]}, {STATS}")
 
-    state = f"{key} {kinds[key]}, part bigint, counts array<bigint>, sketch array<bigint>, in_line boolean, in_word boolean, head string, tail string"
-    columns = [key, "part", "counts", "sketch", "in_line", "in_word", "head", "tail"]
+    state = f"{key} {kinds[key]}, part bigint, counts array<bigint>, sketch array<bigint>, in_word boolean, unspaced boolean, head string, tail string"
+    columns = [key, "part", "counts", "sketch", "in_word", "unspaced", "head", "tail"]
+    piece_names = [key, "part", "piece", "in_line", "left_open", "in_word", "unspaced", "line_counts"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, t in enumerate(b.column(text).to_pylist()):
                 k = b.column(key).slice(i, 1)
                 first, rest = split_first(t)
-                for part, (p, in_line, in_word) in enumerate([(first, False, False), *pieces(rest, piece)]):
-                    yield pa.RecordBatch.from_arrays([k, pa.array([part]), pa.array([p]), pa.array([in_line]), pa.array([in_word])], [key, "part", "piece", "in_line", "in_word"])
+                unspaced = _unspaced(sum(_kinds(p) for p, *_ in pieces(rest, piece)))
+                whole_first = (first, False, False, False, [0] * len(NAMES))
+                for part, (p, *flags, counts) in enumerate([whole_first, *cut_lines(rest, piece)]):
+                    yield pa.RecordBatch.from_arrays([k, pa.array([part]), pa.array([p]), *(pa.array([f]) for f in (*flags, unspaced)), pa.array([counts], pa.list_(pa.int64()))], piece_names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, sketches, edges = [], [], []
-            for p, part in zip(b.column("piece").to_pylist(), b.column("part").to_pylist()):
+            for part, p, in_line, left_open, unspaced, line_counts in zip(*(b.column(c).to_pylist() for c in ("part", "piece", "in_line", "left_open", "unspaced", "line_counts"))):
                 pairs: set[int] = set()
-                counts.append(measure(p, pairs if part else None).tolist())
+                counts.append((measure(p, pairs, in_line, left_open, unspaced) if part else measure(p)) + np.asarray(line_counts, dtype=np.int64))
                 sketches.append(smallest(pairs))
-                edges.append(_edge_words(p))
+                edges.append(_edge_words(p, unspaced))
             yield pa.RecordBatch.from_arrays(
-                [b.column(key), b.column("part"), pa.array(counts, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), b.column("in_line"), b.column("in_word"), pa.array([e[0] for e in edges]), pa.array([e[1] for e in edges])],
+                [b.column(key), b.column("part"), pa.array([c.tolist() for c in counts], pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), b.column("in_word"), b.column("unspaced"), pa.array([e[0] for e in edges]), pa.array([e[1] for e in edges])],
                 columns,
             )
 
@@ -385,7 +434,7 @@ def document_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", pie
             done = join_pieces(done, s)
         return type(pdf)([(pdf[key].iloc[0], *_stats(first[0], done[0], done[1]))], columns=names)
 
-    cuts = source.where(long).mapInArrow(cut, f"{key} {kinds[key]}, part bigint, piece string, in_line boolean, in_word boolean")
+    cuts = source.where(long).mapInArrow(cut, f"{key} {kinds[key]}, part bigint, piece string, in_line boolean, left_open boolean, in_word boolean, unspaced boolean, line_counts array<bigint>")
     parts = cuts.repartition(key, "part").mapInArrow(count, state)
     # The first sentence (part 0) stays apart; the others merge in groups, then together.
     level = parts.withColumn("_group", F.when(F.col("part") > 0, F.floor((F.col("part") - 1) / FAN_IN)).otherwise(F.lit(-1)))

@@ -317,6 +317,17 @@ def test_quality_pieces_agree(spark):
     assert quality.document_stats(df.where("false")).count() == 0
 
 
+def test_quality_cut_lines_count_whole(spark):
+    base = "The team needs cables and lamps. We moved to room B.\nIt failed 3 times, and nobody looked at it! "
+    rng = random.Random(2)
+    pool = " ".join(UNITS[:10]).split()
+    one_line = " ".join(rng.choice(pool) + " |" * (i % 300 == 7) for i in range(8000))
+    docs = [(1, base * 5), (2, None), (3, ""), (4, base * 900), (5, "• item one\n" * 9000), (6, "x" * 90_000), (7, base * 5), (8, "没错。我们先检查了字幕文件。" * 3000), (9, one_line), (10, "Short one.\n\n" + one_line + "\n" + one_line[:9000] + "\nEnd")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    parts, whole = (sorted_rows(quality.document_stats(df, piece=n)) for n in (5_000, 10**7))
+    assert parts == whole and {r[0]: r[-1] for r in parts}[9] == "prose"
+
+
 def test_marks():
     text, ends = marks.unescape("a &amp; &bogus; b")
     assert text == "a & &bogus; b" and ends[2] == 7
