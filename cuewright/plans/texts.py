@@ -112,7 +112,7 @@ def retry_errors(spark: SparkSession, d: str) -> DataFrame:
 
 def line_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     """Content key of a line: text and length budget."""
-    s = B.timed(B.segments(spark, d, "text_target")).where("text_target is not null and text_target not like '%\\\\%'")
+    s = B.timed(B.segments(spark, d, "text_target")).where(F.col("text_target").isNotNull() & ~F.contains("text_target", F.lit("\\")))
     budget = F.greatest(F.lit(3), F.floor((F.col("end_ms") - F.col("start_ms")) * F.lit(0.015))).cast("bigint")
     s = s.withColumn("plain", F.regexp_replace("text_target", r"[^\p{L}\p{N} .,!?]", " "))
     return s.select("run_id", "idx", T.fingerprint(budget=budget, text=F.col("plain")).alias("fingerprint"))

@@ -1,8 +1,11 @@
 """Literal cases of the scalar text functions."""
 
+import duckdb
+from conftest import sorted_rows
 from pyspark.sql import functions as F
 
 from cuewright.functions import text as T
+from cuewright.plans import texts
 
 
 def one(spark, column, value, kind="string"):
@@ -74,3 +77,14 @@ def test_json_and_names(spark):
     assert one(spark, T.skippable, " <end> ") and one(spark, T.skippable, " ") and not one(spark, T.skippable, "a<b>")
     assert one(spark, T.base_tag, "FR-fr") == "fr"
     assert one(spark, T.filter_path, "a:b'c") == "a\\:b\\'c"
+
+
+def test_line_fingerprints_of_percent_and_backslash(spark, tmp_path):
+    lines = ["rose by 5%", "50% more", "a\\b", "plain", "%", None]
+    rows = [(1, i, float(i), i + 1.0, None, t, None, False, None) for i, t in enumerate(lines)]
+    path = str(tmp_path / "segments.parquet")
+    spark.createDataFrame(rows, "run_id bigint, idx int, start_s double, end_s double, text_src string, text_target string, speaker string, skipped boolean, feed string").write.parquet(path)
+    got = sorted_rows(texts.line_fingerprints(spark, str(tmp_path)))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW segments AS SELECT * FROM '{path}/*.parquet'")
+    assert got == sorted(con.execute(texts.ORACLES["line_fingerprints"]).fetchall(), key=repr) and [r[1] for r in got] == [0, 1, 3, 4]
