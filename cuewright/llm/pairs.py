@@ -233,26 +233,27 @@ def defects(prompt: str | None, response: str | None, source: str | None, target
     return found
 
 
-def pair_defects(df: DataFrame, known: Languages, model: T.Model, limits: dict, keys: list[str]) -> DataFrame:
+def pair_defects(df: DataFrame, known: Languages, model: T.Model, limits: dict | DataFrame, keys: list[str]) -> DataFrame:
     """``keys, defects``: the pairs with at least one defect and all of their defects.
 
     ``df`` holds ``keys, text_src, text_target, feed, source_lang, target_lang``; null texts count as
     empty, null languages leave out the language rule, repeated keys are judged row by row.
     """
-    shared = df.sparkSession.sparkContext.broadcast((known, model, limits))
+    rows, by_source = T.with_limits(df.select(*keys, "text_src", "text_target", "source_lang", "target_lang", "feed"), limits, keys, "feed")
+    shared = df.sparkSession.sparkContext.broadcast((known, model, by_source))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", defects array<string>"
-    none = (frozenset(), frozenset())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, m, lim = shared.value
         for b in batches:
             at, found = [], []
-            cols = [b.column(c).to_pylist() for c in ("text_src", "text_target", "source_lang", "target_lang", "feed")]
-            for i, (prompt, response, s, t, feed) in enumerate(zip(*cols)):
+            of = T.limits_of(b, "feed", lim)
+            cols = [b.column(c).to_pylist() for c in ("text_src", "text_target", "source_lang", "target_lang")]
+            for i, (prompt, response, s, t) in enumerate(zip(*cols)):
                 cut = False
                 if response:
-                    x = T.features(response, lim.get((feed, "text_target"), none), m.words)
+                    x = T.features(response, of(i, "text_target"), m.words)
                     cut = x is not None and float(m.weights[x].sum()) > m.threshold
                 d = defects(prompt, response, s, t, languages, cut)
                 if d:
@@ -261,7 +262,7 @@ def pair_defects(df: DataFrame, known: Languages, model: T.Model, limits: dict,
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(k).take(take) for k in keys] + [pa.array(found, pa.list_(pa.string()))], [*keys, "defects"])
 
-    return df.select(*keys, "text_src", "text_target", "source_lang", "target_lang", "feed").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:

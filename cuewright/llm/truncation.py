@@ -256,36 +256,70 @@ def _limits_map(rows: list) -> dict:
     return {k: (frozenset(c), frozenset(b) if not c else frozenset()) for k, (c, b) in found.items()}
 
 
-#: Sources whose limits are carried to the workers; beyond it a source's limits are not used as a
-#: feature (the other features remain), so the driver never holds more than this many rows.
+#: Up to so many limits travel to the workers as a map; more of them are joined to the rows.
 MOST_LIMITS = 20_000
+#: Tasks over which the rows of one source are spread in that join.
+SPREAD = 32
+_NONE = (frozenset(), frozenset())
 
 
-def fit_model(spark: SparkSession, d: str, most: int = SAMPLE_VALUES) -> tuple[Model, dict]:
+def fit_model(spark: SparkSession, d: str, most: int = SAMPLE_VALUES) -> tuple[Model, dict | DataFrame]:
+    """The model, and all limits: a map, or the rows of :func:`field_limits` where they are many."""
     segments = table(spark, d, "segments", "run_id", "idx", "text_src", "text_target", "feed")
-    limits = _limits_map(field_limits(segments, "feed", FIELDS).limit(MOST_LIMITS).collect())
+    limits = field_limits(segments, "feed", FIELDS)
+    few = limits.limit(MOST_LIMITS + 1).collect()
     rows = segments.select("feed", *FIELDS, F.xxhash64("run_id", "idx").alias("_h")).orderBy("_h", *FIELDS).limit(most).collect()
-    none = (frozenset(), frozenset())
-    return fit([(r[f], limits.get((r["feed"], f), none)) for r in rows for f in FIELDS if r[f]]), limits
+    if len(few) <= MOST_LIMITS:
+        limits = known = _limits_map(few)
+    else:
+        feeds = spark.createDataFrame([(f,) for f in {r["feed"] for r in rows}], "_feed string")
+        known = _limits_map(limits.join(F.broadcast(feeds), F.col("feed").eqNullSafe(F.col("_feed"))).drop("_feed").collect())
+    return fit([(r[f], known.get((r["feed"], f), _NONE)) for r in rows for f in FIELDS if r[f]]), limits
+
+
+def with_limits(df: DataFrame, limits: dict | DataFrame, keys: list[str], source: str) -> tuple[DataFrame, dict | None]:
+    """The rows and the map of limits; without a map the rows have the limits of their source in ``_limits``."""
+    if isinstance(limits, dict):
+        return df, limits
+    of = limits.groupBy(F.col(source).alias("_source")).agg(F.collect_list(F.struct("field", "unit", "size")).alias("_limits"))
+    of = of.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    rows = df.withColumn("_at", F.pmod(F.xxhash64(*keys), F.lit(SPREAD)).cast("int"))
+    return rows.join(of, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_part")), "left").drop("_source", "_part", "_at"), None
+
+
+def limits_of(b: pa.RecordBatch, source: str, known: dict | None):
+    """(row, field) -> limits, for a batch of :func:`with_limits`."""
+    sources = b.column(source).to_pylist()
+    if known is not None:
+        return lambda i, f: known.get((sources[i], f), _NONE)
+    column, maps = b.column("_limits"), {}
+
+    def of(i: int, f: str) -> tuple:
+        s = sources[i]
+        if s not in maps:
+            maps[s] = _limits_map([(s, x["field"], x["unit"], x["size"]) for x in column[i].as_py() or []])
+        return maps[s].get((s, f), _NONE)
+
+    return of
 
 
-def score_values(df: DataFrame, model: Model, limits: dict, keys: list[str], source: str, fields: list[str]) -> DataFrame:
+def score_values(df: DataFrame, model: Model, limits: dict | DataFrame, keys: list[str], source: str, fields: list[str]) -> DataFrame:
     """``keys, source, field, score, cut``: one row per non-null value; a value in which nothing is said scores null and is not cut."""
-    shared = df.sparkSession.sparkContext.broadcast((model, limits))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, source]) + ", field string, score double, cut boolean"
-    none = (frozenset(), frozenset())
+    rows, known = with_limits(df.select(*keys, source, *fields), limits, keys, source)
+    shared = df.sparkSession.sparkContext.broadcast((model, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, lim = shared.value
         for b in batches:
-            sources = b.column(source).to_pylist()
+            of = limits_of(b, source, lim)
             for f in fields:
                 at, scores = [], []
                 for i, text in enumerate(b.column(f).to_pylist()):
                     if text is None:
                         continue
-                    x = features(text, lim.get((sources[i], f), none), m.words)
+                    x = features(text, of(i, f), m.words)
                     at.append(i)
                     scores.append(None if x is None else float(m.weights[x].sum()) - m.threshold)
                 take = pa.array(at, pa.int64())
@@ -294,7 +328,7 @@ def score_values(df: DataFrame, model: Model, limits: dict, keys: list[str], sou
                     [*keys, source, "field", "score", "cut"],
                 )
 
-    return df.select(*keys, source, *fields).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def cut_rates(scored: DataFrame, source: str) -> DataFrame:

@@ -222,6 +222,24 @@ def test_field_limits(spark):
     assert ("a", "t", "char", 80) in sorted_rows(got) and not [r for r in got.collect() if r["feed"] == "b"]
 
 
+def test_limits_of_many_sources_all_count(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    rows = []
+    for feed, limit in (("a", 80), ("b", 60), (None, 70)):
+        for i in range(240):
+            text = " ".join(rng.choice(UNITS[:10]) for _ in range(rng.randrange(1, 4)))
+            rows.append((1, len(rows), text[:limit], text[: rng.choice((limit, 500))], feed, "en", "en"))
+    df = spark.createDataFrame(rows, "run_id bigint, idx int, text_src string, text_target string, feed string, source_lang string, target_lang string")
+    df.write.parquet(str(tmp_path / "segments.parquet"))
+    known = pairs.Languages([("en", u) for u in UNITS[:10]] * 3)
+    got = []
+    for most in (20_000, 1):
+        monkeypatch.setattr(truncation, "MOST_LIMITS", most)
+        m, limits = truncation.fit_model(spark, str(tmp_path))
+        got.append((sorted_rows(truncation.score_values(df, m, limits, ["run_id", "idx"], "feed", truncation.FIELDS)), sorted_rows(pairs.pair_defects(df, known, m, limits, ["run_id", "idx"]))))
+    assert got[0] == got[1] and any(r[-1] for r in got[0][0])
+
+
 def test_pair_rules():
     known = pairs.Languages([("en", u) for u in UNITS[:10]] * 3 + [("zh", u) for u in UNITS[120:126]] * 3 + [("fr", "la séance est dans la salle et le micro est en place"), ("fr", "nous avons vérifié le glossaire avant la caméra")] * 5)
     d = lambda p, r, s="en", t="fr", cut=False: pairs.defects(p, r, s, t, known, cut)
