@@ -27,12 +27,16 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reading_comparison(spark: SparkSession, d: str) -> DataFrame:
-    r = readings(spark, d).where("verify is not null").withColumn("c", A.compare("pivot", "verify"))
-    return r.select("run_id", "idx", "c.*", A.needs_arbiter("pivot", "verify").alias("needs_arbiter"))
+    r = A.with_readings(readings(spark, d).where("verify is not null"))
+    return r.select("run_id", "idx", F.col("_need").alias("needs_arbiter"), A.comparison("_p", "_v", "_mv").alias("c")).select("run_id", "idx", "c.*", "needs_arbiter")
 
 
 def verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return A.verdicts(readings(spark, d))
+    return A.verdicts(readings(spark, d)).drop("winners", "regions")
+
+
+def vote_regions(spark: SparkSession, d: str) -> DataFrame:
+    return A.vote_regions(A.verdicts(readings(spark, d)))
 
 
 def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -41,9 +45,9 @@ def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def suspect_readings(spark: SparkSession, d: str) -> DataFrame:
-    r = readings(spark, d).where("verify is not null").withColumn("align", A.align_ratio("pivot", "verify"))
-    p, v = T.normalize(F.col("pivot")), T.normalize(F.col("verify"))
-    return r.where(F.size(p) > 0).select("run_id", "idx", F.round("align", 4).alias("align"), A.is_suspect(p, v, F.col("align")).alias("suspect"))
+    r = A.with_readings(readings(spark, d).where("verify is not null"))
+    p, v = F.col("_p.toks"), F.col("_v.toks")
+    return r.where(F.size(p) > 0).select("run_id", "idx", F.bround("_mv_align", 4).alias("align"), A.is_suspect(p, v, F.col("_mv_align")).alias("suspect"))
 
 
 def pause_segments(spark: SparkSession, d: str) -> DataFrame:
@@ -70,5 +74,5 @@ def merged_windows(spark: SparkSession, d: str) -> DataFrame:
     return G.merge_windows(inside.where("end_ms > start_ms"))
 
 
-QUERIES = {f.__name__: f for f in (reading_comparison, verdicts, weight_sweep, suspect_readings, pause_segments, word_windows, sentence_segments, merged_windows)}
+QUERIES = {f.__name__: f for f in (reading_comparison, verdicts, vote_regions, weight_sweep, suspect_readings, pause_segments, word_windows, sentence_segments, merged_windows)}
 ORACLES: dict[str, str] = {}
