@@ -3,8 +3,10 @@
 Passages are short and documents long, so whole-set similarity says nothing. Passages are put into
 size classes; every passage is cut into overlapping blocks of its class, every document into
 windows a little larger than a block. Block and window are compared by MinHash over five-word
-shingles; pairs that agree in enough hashes are candidates. A candidate counts if exact shingle
-matches, chained along one stretch, hold at least half of the passage's words.
+shingles; pairs that agree in enough hashes are candidates. The shortest passages have too few
+shingles for that: of them every shingle is looked up. A candidate counts if exact shingle
+matches, chained along one stretch, hold at least half of the passage's words. Passages of fewer
+words than a shingle and a block must occur whole, word by word.
 """
 
 from __future__ import annotations
@@ -29,10 +31,15 @@ HASHES = 32
 AGREE = 3
 #: A passage of n words is cut into blocks of a quarter of its words; classes of block sizes.
 CLASSES = (4, 6, 8, 11, 16, 22, 32, 45, 64, 90, 128, 181, 256)
+#: Passages under this many words are searched by all of their shingles, those under LEAST_WORDS as a whole.
+EXACT_WORDS = 24
+LEAST_WORDS = SHINGLE + CLASSES[0]
 #: Share of a passage's words that one stretch must hold.
 SHARE = 0.5
 #: Words that may be missing from a stretch by replacement and still count as held.
 GAP = 14
+#: Words of a document within which a stretch must go on.
+FAR = 2 * (GAP + SHINGLE)
 #: Passages searched in one pass over the documents; more are searched in as many passes as needed,
 #: so what is sent to the workers is bounded by this number, not by the size of the evaluation set.
 PASS_ITEMS = 20_000
@@ -67,23 +74,65 @@ def _word_hash(w: str) -> int:
     return zlib.crc32(b) << 32 | zlib.crc32(b, 0xABCD1234)
 
 
-def shingle_hashes(h: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of SHINGLE word hashes; len(h) - SHINGLE + 1 of them."""
-    n = len(h) - SHINGLE + 1
-    if n <= 0:
+def size_class(n_words: int) -> int | None:
+    """The largest class not above a quarter of the words; None for passages that are searched exactly."""
+    fit = [c for c in CLASSES if c <= n_words / 4]
+    return fit[-1] if n_words >= EXACT_WORDS else None
+
+
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of ``n`` word hashes; len(h) - n + 1 of them."""
+    size = len(h) - n + 1
+    if size <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
+    out = np.zeros(size, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(SHINGLE):
-            out = (out ^ h[k : k + n]) * _SEED
+        for k in range(n):
+            out = (out ^ h[k : k + size]) * _SEED
             out ^= out >> np.uint64(29)
     return out
 
 
-def size_class(n_words: int) -> int | None:
-    """The largest class not above a quarter of the words; None for passages under 4 x the smallest class."""
-    fit = [c for c in CLASSES if c <= max(n_words / 4, CLASSES[0])]
-    return fit[-1] if n_words >= SHINGLE + CLASSES[0] else None
+def shingle_hashes(h: np.ndarray) -> np.ndarray:
+    return run_hashes(h, SHINGLE)
+
+
+class Filter:
+    """A bit table over hashes, sixteen bits or more for each of them; tells which values are surely absent."""
+
+    def __init__(self, values: np.ndarray):
+        self.bits = max(16, int(16 * max(1, len(values))).bit_length())
+        at = self._place(values)
+        self.table = np.zeros(1 << (self.bits - 3), dtype=np.uint8)
+        np.bitwise_or.at(self.table, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, (at & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
+
+    def _place(self, values: np.ndarray) -> np.ndarray:
+        # Minima are small numbers, so their bits are mixed first.
+        with np.errstate(over="ignore"):
+            return (values * _SEED) >> np.uint64(64 - self.bits)
+
+    def maybe(self, values: np.ndarray) -> np.ndarray:
+        """Positions of the values that may be among the hashes."""
+        at = self._place(values)
+        return np.flatnonzero((self.table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+
+
+class Lookup:
+    """Hashes with their owners, found exactly: sorted, behind a filter."""
+
+    def __init__(self, values: np.ndarray, owner: np.ndarray):
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner, self.filter = values[order], owner[order], Filter(values)
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in ``values``, owner) of every hit."""
+        maybe = self.filter.maybe(values)
+        lo, hi = np.searchsorted(self.values, values[maybe], "left"), np.searchsorted(self.values, values[maybe], "right")
+        some = hi > lo
+        m, lo, hi = maybe[some], lo[some], hi[some]
+        if len(m) == 0:
+            return m, m
+        return np.repeat(m, hi - lo), np.concatenate([self.owner[x:y] for x, y in zip(lo, hi)])
 
 
 @dataclass
@@ -95,19 +144,22 @@ class Index:
     minima: dict[int, tuple[np.ndarray, np.ndarray]]  # class -> (HASHES x blocks values), block -> passage
 
     def __post_init__(self):
-        self.sorted = {}
-        for c, (values, owner) in self.minima.items():
-            orders = np.argsort(values, axis=1, kind="stable")
-            bloom = np.zeros((HASHES, 1 << 16), dtype=bool)
-            for j in range(HASHES):
-                bloom[j, (values[j] >> np.uint64(40)) & np.uint64(0xFFFF)] = True
-            self.sorted[c] = (np.take_along_axis(values, orders, 1), orders, bloom)
+        self.lookups = {c: [Lookup(values[j], np.arange(len(owner))) for j in range(HASHES)] for c, (values, owner) in self.minima.items()}
+        hashes = [np.fromiter(map(_word_hash, p), np.uint64, len(p)) for p in self.passages]
         self.shingles = []
-        for p in self.passages:
+        for h in hashes:
             at: dict[int, list[int]] = defaultdict(list)
-            for i, s in enumerate(shingle_hashes(np.fromiter(map(_word_hash, p), np.uint64, len(p))).tolist()):
+            for i, s in enumerate(shingle_hashes(h).tolist()):
                 at[s].append(i)
             self.shingles.append(at)
+        # Every shingle of the short passages; the shortest ones as one run of words each.
+        of = [(p, s) for p, h in enumerate(hashes) if LEAST_WORDS <= len(h) < EXACT_WORDS for s in self.shingles[p]]
+        self.exact = Lookup(np.asarray([s for _, s in of], dtype=np.uint64), np.asarray([p for p, _ in of], dtype=np.int64))
+        runs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for p, h in enumerate(hashes):
+            if 0 < len(h) < LEAST_WORDS:
+                runs[len(h)].append((int(run_hashes(h, len(h))[0]), p))
+        self.whole = {n: Lookup(np.asarray([x for x, _ in rs], dtype=np.uint64), np.asarray([p for _, p in rs], dtype=np.int64)) for n, rs in runs.items()}
 
     def __getstate__(self):
         return self.passages, self.ids, self.minima
@@ -125,14 +177,14 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     passages, ids = [], []
     blocks: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
     for p, own in sorted(by.items()):
-        c = size_class(len(p))
-        if c is None:
+        if not p:
             continue
-        s = shingle_hashes(np.fromiter(map(_word_hash, p), np.uint64, len(p)))
-        size = max(1, c - SHINGLE + 1) if c >= SHINGLE else 1
-        step = max(1, c // 2)
-        for at in range(0, max(1, len(s) - size + 1), step):
-            blocks[c].append((len(passages), s[at : at + size]))
+        c = size_class(len(p))
+        if c is not None:
+            s = shingle_hashes(np.fromiter(map(_word_hash, p), np.uint64, len(p)))
+            size = c - SHINGLE + 1
+            for at in range(0, max(1, len(s) - size + 1), max(1, c // 2)):
+                blocks[c].append((len(passages), s[at : at + size]))
         passages.append(list(p))
         ids.append(sorted(own))
     minima = {}
@@ -150,9 +202,12 @@ def candidates(shingles: np.ndarray, starts: np.ndarray, index: Index) -> dict[t
     found: dict[tuple[int, int], list[int]] = defaultdict(list)
     if len(shingles) == 0:
         return found
+    at, owner = index.exact.find(shingles)
+    doc = np.searchsorted(starts, at, "right") - 1
+    for d, p, a in zip(doc.tolist(), owner.tolist(), (at - starts[doc]).tolist()):
+        found[(d, p)].append(a)
     docs = np.flatnonzero(np.diff(starts) > 0)
     for c, (_, owner) in index.minima.items():
-        values, orders, bloom = index.sorted[c]
         # Half-block chunks; a window is five of them, so any stretch of two blocks' length minus a chunk lies in one.
         half = max(1, c // 2)
         lens = np.diff(starts)[docs]
@@ -170,22 +225,13 @@ def candidates(shingles: np.ndarray, starts: np.ndarray, index: Index) -> dict[t
                 win = low.copy()
                 for k in range(1, 5):
                     win = np.minimum(win, low[np.minimum(span + k, last)])
-                maybe = np.flatnonzero(bloom[j][(win >> np.uint64(40)) & np.uint64(0xFFFF)])
-                if len(maybe) == 0:
-                    continue
-                v = win[maybe]
-                lo, hi = np.searchsorted(values[j], v, "left"), np.searchsorted(values[j], v, "right")
-                some = hi > lo
-                if some.any():
-                    m, lo, hi = maybe[some], lo[some], hi[some]
-                    w = np.repeat(m, hi - lo)
-                    b = np.concatenate([orders[j][x:y] for x, y in zip(lo, hi)])
+                w, b = index.lookups[c][j].find(win)
+                if len(w):
                     votes.append(w.astype(np.int64) * len(owner) + b)
         if not votes:
             continue
         pair, n = np.unique(np.concatenate(votes), return_counts=True)
-        need = min(AGREE, HASHES)
-        for p in pair[n >= need].tolist():
+        for p in pair[n >= AGREE].tolist():
             w, b = divmod(p, len(owner))
             found[(int(docs[doc_of[w]]), int(owner[b]))].append(int(chunk_at[w] - starts[docs[doc_of[w]]]))
     return found
@@ -204,19 +250,29 @@ def held(doc: list[str], hashes: list[int], near: list[int], passage: list[str],
         else:
             spans.append([a, b])
     for a, b in spans:
-        matches = [(j, i) for j in range(a, b) for i in at.get(hashes[j], ())]
-        # Chains: a match follows another if both move on by about as much.
-        chains: list[tuple[int, int, int, int, set[int]]] = []
-        for j, i in matches:
-            for k in range(len(chains) - 1, max(-1, len(chains) - 40), -1):
-                j0, i0, _, _, got = chains[k]
-                di, dj = i - i0, j - j0
-                if 0 < di <= GAP + SHINGLE and 0 < dj <= 2 * (GAP + SHINGLE) and abs(dj - di) <= 2 + max(di, dj) // 4:
-                    got.update(range(i, i + SHINGLE))
-                    chains[k] = (j, i, chains[k][2], chains[k][3], got)
-                    break
-            else:
-                chains.append((j, i, j, i, set(range(i, i + SHINGLE))))
+        # Chains: a match follows the newest one that it moves on from by about as much on both sides.
+        # Only chains that ended within FAR words can be followed, by the places where they ended.
+        chains: list[list] = []  # last match, first match, passage words held
+        ended: dict[int, list[int]] = defaultdict(list)
+        for j in range(a, b):
+            for i in at.get(hashes[j], ()):
+                best_k = -1
+                for i0 in range(max(0, i - GAP - SHINGLE), i):
+                    near_ends = ended.get(i0)
+                    if not near_ends:
+                        continue
+                    near_ends[:] = [k for k in near_ends if chains[k][1] == i0 and j - chains[k][0] <= FAR]
+                    for k in near_ends:
+                        dj, di = j - chains[k][0], i - i0
+                        if dj > 0 and abs(dj - di) <= 2 + max(di, dj) // 4:
+                            best_k = max(best_k, k)
+                if best_k >= 0:
+                    chains[best_k][:2] = j, i
+                    chains[best_k][4].update(range(i, i + SHINGLE))
+                else:
+                    best_k = len(chains)
+                    chains.append([j, i, j, i, set(range(i, i + SHINGLE))])
+                ended[i].append(best_k)
         for j1, i1, j0, i0, got in chains:
             if (i1 + SHINGLE - i0) + 2 * GAP < SHARE * n:
                 continue
@@ -272,13 +328,20 @@ def search(texts: list[str], index: Index) -> list[tuple[int, int, float]]:
         share = held(docs[d], lists[d], near, index.passages[p], index.shingles[p])
         if share >= SHARE:
             out.append((d, p, share))
+    first = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)
+    for n, lookup in index.whole.items():
+        at, owner = lookup.find(run_hashes(all_hashes, n))
+        doc = np.searchsorted(first, at, "right") - 1
+        hits = {(d, p) for a, d, p in zip(at.tolist(), doc.tolist(), owner.tolist()) if a + n <= first[d + 1] and docs[d][a - first[d] : a - first[d] + n] == index.passages[p]}
+        out += [(d, p, 1.0) for d, p in sorted(hits)]
     return out
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", pass_items: int = PASS_ITEMS) -> DataFrame:
     """``key, item, share``: every document that holds an evaluation passage, whole or by half, with each leaked item.
 
-    Null and empty texts and passages, and passages under nine words, are never found. Items with
+    Null and empty texts and passages are never found; passages under LEAST_WORDS words only where they
+    occur whole. Items with
     the same passage are all listed; repeated items once. The documents are scanned without a
     shuffle, once per ``pass_items`` items; a document is searched whole, whatever its length.
     """

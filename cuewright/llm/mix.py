@@ -9,7 +9,6 @@ token positions in a seeded order of the pattern's units, and the units in it ar
 from __future__ import annotations
 
 import base64
-import tempfile
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,8 +24,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SEED = 20_240
 #: Seeded orders are cut into this many buckets, each ordered by itself.
 BUCKETS = 4_096
-#: Patterns and routes are solved on the driver; there are at most as many patterns as distinct
-#: sets of listed sources, and more than this is refused rather than collected.
+#: Patterns and routes are solved on the driver. There can be as many patterns as sets of listed
+#: sources; beyond this number the smallest ones are made simpler, see :func:`few_patterns`.
 MOST_PATTERNS = 20_000
 
 _TOKENIZERS: dict = {}
@@ -69,14 +68,43 @@ def units(sized: DataFrame, listed: list[str]) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows written once to the checkpoint folder of the session, so that several plans read them."""
+    """The rows written once to the checkpoint folder of the session, so that several plans read them.
+
+    Without such a folder a local session gets one under the warehouse folder; a cluster is refused,
+    since a folder of one machine would be lost with it.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
     return df.checkpoint()
 
 
+def few_patterns(u: DataFrame, targets: list, most: int = MOST_PATTERNS) -> tuple[DataFrame, dict[str, int]]:
+    """The units and the tokens of each pattern, of at most ``most`` patterns and one for each source.
+
+    The largest patterns stay. A unit of any other one counts as a member of only that source of its
+    own which asks for most in proportion to what it has, so no unit is lost and quotas are filled as
+    before; only among these units may another source have been the cheaper choice.
+    """
+    sums = u.where("pattern <> '' and n_tokens > 0").groupBy("pattern").agg(F.sum("n_tokens").alias("n"))
+    top = {r[0]: r[1] for r in sums.orderBy(F.desc("n"), "pattern").limit(most + 1).collect()}
+    if len(top) <= most:
+        return u, top
+    del top[max(top, key=lambda p: (-top[p], p))]
+    have = {r[0]: r[1] for r in sums.select(F.explode(F.split("pattern", r"\|")).alias("s"), "n").groupBy("s").agg(F.sum("n")).collect()}
+    asked = {s: max((r["size_ratio"] or 0) * (r["target_share"] or 0) for r in targets if r["source"] == s) for s in have}
+    need = F.create_map(*[F.lit(x) for s in sorted(have) for x in (s, float(asked[s]) / have[s])])
+    scarcest = F.array_max(F.transform(F.split("pattern", r"\|"), lambda s: F.struct(need[s].alias("need"), s.alias("s"))))["s"]
+    stay = u.sparkSession.createDataFrame([(p, True) for p in top], "pattern string, _stays boolean")
+    v = u.join(F.broadcast(stay), "pattern", "left").withColumn("pattern", F.when(F.col("_stays") | (F.col("pattern") == ""), F.col("pattern")).otherwise(scarcest)).drop("_stays")
+    v = kept(v)
+    return v, {r[0]: r[1] for r in v.where("pattern <> '' and n_tokens > 0").groupBy("pattern").agg(F.sum("n_tokens")).collect()}
+
+
 # -- flow ------------------------------------------------------------------------------------------------
 
 
@@ -170,10 +198,7 @@ def mix(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER, seed: int =
     listed = sorted({r["source"] for r in wanted})
     u = kept(units(token_counts(docs, path), listed))
     total = u.agg(F.sum(F.col("n_tokens") * F.col("n_docs"))).first()[0] or 0
-    found = u.where("pattern <> '' and n_tokens > 0").groupBy("pattern").agg(F.sum("n_tokens")).limit(MOST_PATTERNS + 1).collect()
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} sets of overlapping sources")
-    patterns = {r[0]: r[1] for r in found}
+    u, patterns = few_patterns(u, wanted)
     spans = []
     for m in sorted({r["mix_id"] for r in wanted}):
         own = [r for r in wanted if r["mix_id"] == m]

@@ -1,4 +1,10 @@
-"""Broken prompt and response pairs (problem 5): ordered rules, each with its own evidence."""
+"""Broken prompt and response pairs (problem 5): ordered rules, each with its own evidence.
+
+In order: emptiness; refusal phrases; a copied prefix, or most of the prompt's words in runs; letters
+of a script that neither language of the pair is written in, or, within one script, a language model;
+an unclosed delimiter or an abrupt ending, which is a truncation if the model of problem 6 agrees.
+Every rule that is met gives its defect.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +21,7 @@ from pyspark.sql import functions as F
 from ..tables import base_lang, delivered_once, table
 from . import marks as M
 from . import truncation as T
-from .sentences import _STRIP, _fillers_only_text, _only_fillers
+from .sentences import _STRIP, _fillers_only_text, _only_fillers, _open_quotes
 
 #: In this order; a pair's first defect is its defect in p5_found.
 DEFECTS = ["empty", "refusal", "copy", "wrong_language", "truncated"]
@@ -54,9 +60,9 @@ REFUSALS = re.compile(
     re.I | re.X | re.S,
 )
 
-# What every refusal above has one of, in lower case: a cheap test before the long pattern.
+# What every refusal above has one of, in lower case and single-spaced: a cheap test before the long pattern.
 _REFUSAL_HINTS = (
-    "can't", "can’t", "cannot", "n't", "n’t", "unable", "not able", "not comfort", "won't", "won’t", "will not", "declin", "refus", " ai", "an ai", "artificial", "language model", "assistant", "polic", "guideline", "violat", "rather not", "prefer not",
+    "can't", "can’t", "cannot", "n't", "n’t", "unable", "not able", "comfortable", "won't", "won’t", "will not", "declin", "déclin", "refus", "against", "blocked by", " ai", "an ai", "artificial", "language model", "large language", "assistant", "polic", "guideline", "violat", "rather not", "prefer not",
     "puedo", "podemos", "posible", "condiciones", "asistente", "modelo de", "como ia", "rechaz", "negarme", "rehusar", "niego", "cómod", "solicitud",
     "peux pas", "peut pas", "pouvons pas", "puis pas", "mesure de", "en tant qu", "à l'aise", "à l’aise", "demande", "kann", "in der lage", "als ki", "assistent", "sprachmodell", "künstliche", "ablehn", "weigere", "fühle", "anfrage",
     "không thể", "là một", "từ chối", "thoải mái", "无法", "不能", "没法", "不便", "不可以", "作为", "拒绝", "请求", "不愿", "不方便", "不适合", "不太", "できま", "できな", "できか", "かねます", "アシスタント", "言語モデル", "aiとして", "断り", "ブロック", "拒否", "控え", "遠慮",
@@ -65,7 +71,7 @@ _REFUSAL_HINTS = (
 
 
 def refused(text: str) -> bool:
-    low = text.lower()
+    low = " ".join(text.lower().replace("ſ", "s").split())
     return any(map(low.__contains__, _REFUSAL_HINTS)) and REFUSALS.search(text) is not None
 
 
@@ -143,6 +149,47 @@ def copied(prompt: str, response: str, tokens: tuple[list[str], list[str]] | Non
     return sum(pairs.values()) / max(1, len(b) - 1) >= COPY_SHARE - 0.22
 
 
+def copied_prefix(a: list[str], b: list[str]) -> bool:
+    """Whether the response opens with the prompt's own opening words, for most of its length."""
+    if not a or not b or only_names(a):
+        return False
+    same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return same >= 2 and same >= COPY_SHARE * len(b)
+
+
+# The scripts a language is written in, and the letters of each.
+SCRIPTS = {"zh": {"han"}, "ja": {"han", "kana"}, "th": {"thai"}, **dict.fromkeys(("en", "de", "fr", "es", "vi"), {"latin"})}
+_LETTERS = {"thai": re.compile("[\u0E00-\u0E7F]"), "kana": re.compile("[\u3040-\u30FF]"), "han": re.compile("[\u3400-\u9FFF\uF900-\uFAFF]"), "latin": re.compile("[A-Za-z\u00C0-\u024F\u1E00-\u1EFF]")}
+#: Share of a response's letters in a script from which it counts as written in it; kana stand among others.
+SCRIPT_SHARE = {"thai": 0.6, "kana": 0.2, "han": 0.6, "latin": 0.9}
+
+
+def foreign_script(text: str, source: str | None, target: str | None) -> bool:
+    """Whether a response is written in a script of neither language. Languages that are not listed make no mismatch."""
+    if source not in SCRIPTS or target not in SCRIPTS:
+        return False
+    own = SCRIPTS[source] | SCRIPTS[target]
+    if own == {"latin"} and text.isascii():
+        return False
+    found = {k: len(rx.findall(text)) for k, rx in _LETTERS.items()}
+    total = sum(found.values())
+    return total > 3 and any(k not in own and found[k] >= SCRIPT_SHARE[k] * total for k in found)
+
+
+_SHORT_END = re.compile(r"(?<!\S)\S{1,3}\.$")
+
+
+def unclosed(said: str) -> bool:
+    """A quotation or bracket that is opened and not closed."""
+    return _open_quotes(said) > 0 or any(said.rfind(o) > said.rfind(c) for o, c in ("[]", "()", "（）", "【】", "{}"))
+
+
+def abrupt(said: str) -> bool:
+    """An ending without a sentence's final mark, with one that trails off, or with a point that may be an abbreviation's."""
+    tail = said.rstrip()
+    return not T._ENDED.search(tail) or T._TRAIL.search(tail) is not None or "�" in tail[-3:] or _SHORT_END.search(tail) is not None
+
+
 class Languages:
     """Multinomial naive Bayes over words and character trigrams, fitted on a bounded labelled sample."""
 
@@ -213,8 +260,12 @@ def wrong_language(words: list[str], source: str | None, target: str | None, kno
     return best not in (source, target) and s[best] - max(mine) > LANGUAGE_MARGIN + 0.15 * len(words)
 
 
-def defects(prompt: str | None, response: str | None, source: str | None, target: str | None, known: Languages, cut: bool) -> list[str]:
-    """Every defect of a pair, in the order of DEFECTS; none where nothing is said in the prompt."""
+def defects(prompt: str | None, response: str | None, source: str | None, target: str | None, known: Languages, cut) -> list[str]:
+    """Every defect of a pair, in the order of DEFECTS; none where nothing is said in the prompt.
+
+    ``cut()`` tells whether the response was cut; it is asked only where a delimiter is unclosed or
+    the ending abrupt.
+    """
     if silent(prompt):
         return []
     plain = M.unescape(response)[0] if response else ""
@@ -224,11 +275,13 @@ def defects(prompt: str | None, response: str | None, source: str | None, target
     elif empty(response):
         return ["empty"]
     words = _tokens(response)
-    if copied(prompt, response, (_tokens(prompt), words)):
+    asked = _tokens(prompt)
+    if copied_prefix(asked, words) or copied(prompt, response, (asked, words)):
         found.append("copy")
-    if wrong_language(words, source, target, known):
+    if not only_names(words) and (foreign_script(plain, source, target) or wrong_language(words, source, target, known)):
         found.append("wrong_language")
-    if cut:
+    said = M.speech(plain)
+    if (abrupt(said) or unclosed(said)) and cut():
         found.append("truncated")
     return found
 
@@ -251,10 +304,11 @@ def pair_defects(df: DataFrame, known: Languages, model: T.Model, limits: dict |
             of = T.limits_of(b, "feed", lim)
             cols = [b.column(c).to_pylist() for c in ("text_src", "text_target", "source_lang", "target_lang")]
             for i, (prompt, response, s, t) in enumerate(zip(*cols)):
-                cut = False
-                if response:
+
+                def cut(i=i, response=response) -> bool:
                     x = T.features(response, of(i, "text_target"), m.words)
-                    cut = x is not None and float(m.weights[x].sum()) > m.threshold
+                    return x is not None and float(m.weights[x].sum()) > m.threshold
+
                 d = defects(prompt, response, s, t, languages, cut)
                 if d:
                     at.append(i)

@@ -25,6 +25,8 @@ PIECE_CHARS = 65_536
 FAN_IN = 64
 #: Smallest hashes of word pairs kept to estimate how many different ones there are.
 SKETCH = 64
+#: Share of brackets and semicolons from which a text may be keys struck at random.
+MASH_SHARE = 0.01
 
 # Function words by language.
 COMMON = {
@@ -39,10 +41,16 @@ COMMON_WORDS = frozenset(w for ws in COMMON.values() for w in ws.split())
 COMMON_CHARS = frozenset("的了是在我们有和就不也这那要到从把被着过吗说为以而且但因所如果很都还没谁后先" + "のはをにがでとてもしますたいるれなかっらりへよねさせん" + "่้็์ัิีืุูเแโใไาำอนรมกท")
 
 # What web pages and players leave behind.
+UI_WORDS = "undefined NaN null Loading Login Log Sign Subscribe Share Close Play Pause Next Previous Home Menu Search Cookie HD CC Like Download Advertisement Accept".split()
+_UI_FORMS = {"Log": "Log in", "Sign": "Sign (?:in|up)", "Cookie": "Cookies?"}
 UI = re.compile(
     r"</?[a-zA-Z][^<>\n]{0,40}>|\{\{[^{}\n]{0,30}\}\}|&(?:nbsp|amp|lt|gt|quot);|\b\d{1,2}:\d{2} / \d{1,2}:\d{2}\b|\[x\]|>>|<<|!!!"
-    r"|\b(?:undefined|NaN|null|Loading|Login|Log in|Sign in|Sign up|Subscribe|Share|Close|Play|Pause|Next|Previous|Home|Menu|Search|Cookies?|HD|CC|Like|Download|Advertisement|Accept)\b"
+    rf"|\b(?:{'|'.join(_UI_FORMS.get(w, w) for w in UI_WORDS)})\b"
 )
+# Every match of it holds one of these.
+_UI_HINTS = ("<", "{{", "&", " / ", "[x]", ">>", "!!!", *UI_WORDS)
+#: More characters than a match of UI has.
+CONTEXT = 64
 _SPACE_WORD = re.compile(r"\S+")
 _MARKER = re.compile(r"\s*(?:[•·●▪◦‣*+–—-]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX✓]?\]|☐|☑|[①-⑳]|\d{1,4}[、．])\s*(?=\S)")
 _SENTENCE_END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]|(?<=[฀-๿])[…](?=\s|$)")
@@ -54,7 +62,6 @@ _DENSE = re.compile(r"[฀-๿぀-ヿ㐀-鿿豈-﫿]")
 _DAMAGE = re.compile(r"[ÃÂÐÑ](?=[^a-zA-Z\s]|[ÃÂ])")
 _MASH = re.compile(r"[a-z][\[\];'\\/<>=][a-z;\[\]]|[\[\];]{2}|(?<!\S)[;'\]][a-z]|[a-z][;\[](?!\S)")
 _BROKEN = re.compile(r"[,;~|#§^¤:!?\d]+(?=[^\W\d_])")
-_UI_HINTS = ("<", "{{", "&", "undefined", "Loading", "[x]", ">>", "!!!", "Log", "Sign", "Share", "Subscribe", "Home", "Close", "Menu", "Cookie", "Play", "Search", "Download", "Accept")
 _FIRST = re.compile(r"[^\n]*?(?:[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？][”」』]?)\s*|[^\n]*\n\s*")
 
 # Character classes: 0 symbol, 1 letter, 2 digit, 3 space, 4 letter of an unspaced script, 5 a frequent one, 6 ordinary mark, 7 trace of damage.
@@ -87,7 +94,7 @@ def _classes() -> np.ndarray:
 
 NAMES = [
     "chars", "letters", "digits", "spaces", "symbols", "weird", "words", "word_chars", "common", "ends", "separators", "lines", "ended_lines",
-    "entry_lines", "marked_lines", "table_lines", "ui", "blob_chars", "pairs", "dense", "dense_common", "mash", "broken", "strong", *(f"short{k}" for k in range(10)),
+    "entry_lines", "marked_lines", "table_lines", "ui", "blob_chars", "pairs", "dense", "dense_common", "brackets", "mash", "broken", "strong", *(f"short{k}" for k in range(10)),
 ]
 AT = {n: i for i, n in enumerate(NAMES)}
 
@@ -116,6 +123,7 @@ def _table(line: str) -> bool:
     return tight >= 3 and tight >= 0.25 * (line.count(" ") + 1)
 
 
+_TRIM = ".,;:!?'\"()“”«»…"
 _WORD_HASH: dict[str, int] = {}
 
 
@@ -137,8 +145,8 @@ def _edge_words(text: str, unspaced: bool) -> tuple[str, str]:
     """First and last word as they enter word pairs; two characters at either end for a script without spaces."""
     if unspaced:
         return text[:2], text[-2:]
-    head, tail = text[:4096].split(), text[-4096:].split()
-    trim = lambda w: w.strip(".,;:!?'\"()“”«»…").lower()[:256]
+    head, tail = text.split(None, 1), text.rsplit(None, 1)
+    trim = lambda w: w.lower().strip(_TRIM)
     return (trim(head[0]), trim(tail[-1])) if head and tail else ("", "")
 
 
@@ -167,9 +175,12 @@ def _count_line(v: np.ndarray, line: str, dense: bool) -> None:
     v[AT["short0"] + min(9, len(words) if not d else d // 3)] += 1
 
 
-def measure(text: str, pairs: set[int] | None = None, opened: bool = False, left_open: bool = False, unspaced: bool | None = None) -> np.ndarray:
+def measure(text: str, pairs: set[int] | None = None, opened: bool = False, left_open: bool = False, unspaced: bool | None = None, around: tuple[str, str] | None = None, mash: bool = True) -> np.ndarray:
     """The count vector of a piece of text; hashes of its word pairs go into ``pairs``.
 
+    ``around`` holds the CONTEXT characters before and after a piece; what is counted are the matches
+    that begin in it. ``mash`` may be left out for a text without brackets, see :func:`outcome`.
+
     The first line of a piece that starts inside a line (``opened``) and the last of one that ends
     inside a line (``left_open``) are not counted as lines here; :func:`cut_lines` does. ``unspaced``
     is whether the whole text counts as a script without spaces, by default judged by ``text``.
@@ -189,16 +200,19 @@ def measure(text: str, pairs: set[int] | None = None, opened: bool = False, left
     v[AT["words"]] = len(tokens)
     sizes = list(map(len, tokens))
     v[AT["word_chars"]] = sum(sizes)
-    low = [t.strip(".,;:!?'\"()“”«»…") for t in text.lower().split()]
+    low = [t.strip(_TRIM) for t in text.lower().split()]
     # d'accord, l'analyse: the article counts
     v[AT["common"]] = sum(1 for w in low if w in COMMON_WORDS or ("'" in w and w[: w.index("'") + 1] in COMMON_WORDS))
     v[AT["separators"]] = len(_INLINE.findall(text))
     v[AT["strong"]] = text.count(";") + text.count("|") + text.count("；")
-    if any(map(text.__contains__, _UI_HINTS)):
-        v[AT["ui"]] = len(UI.findall(text))
+    near = text if around is None else around[0] + text + around[1]
+    if any(map(near.__contains__, _UI_HINTS)):
+        lo = len(around[0]) if around else 0
+        v[AT["ui"]] = sum(lo <= m.start() < lo + n for m in UI.finditer(near))
     if sizes and max(sizes) > 28:
         v[AT["blob_chars"]] = sum(k for t, k in zip(tokens, sizes) if k > 28 and not _DENSE.search(t))
-    if sum(map(text.count, "[];")) > 0.01 * n:
+    v[AT["brackets"]] = sum(map(text.count, "[];"))
+    if mash:
         v[AT["mash"]] = len(_MASH.findall(text))
     v[AT["broken"]] = len(_BROKEN.findall(text))
     v[AT["pairs"]] = max(0, len(low) - 1)
@@ -214,27 +228,39 @@ def measure(text: str, pairs: set[int] | None = None, opened: bool = False, left
     return v
 
 
+_TWO_DENSE = re.compile(f"(?<={_DENSE.pattern})(?={_DENSE.pattern})")
+_BLANK = re.compile(r"[ \t\n]")
+
+
 def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[tuple[str, bool, bool]]:
-    """Cuts of a long text at line ends, else spaces, else anywhere: (piece, starts inside a line, inside a word)."""
+    """Cuts of a long text: (piece, starts inside a line, starts inside a word).
+
+    A piece ends after a line, else after a blank, else between two letters of a script without
+    spaces, so no word or mark of another script is ever cut; without such a place in its second half
+    it is longer, up to the next one.
+    """
     at, n = 0, len(text)
     in_line = in_word = False
     while at < n:
         end = min(n, at + size)
         line = word = False
         if end < n:
-            cut = text.rfind("\n", at + size // 2, end) + 1
-            if not cut:
-                line = True
-                cut = max(text.rfind(" ", at + size // 2, end), text.rfind("\t", at + size // 2, end)) + 1
+            half = at + max(1, size // 2)
+            cut = text.rfind("\n", half, end) + 1 or max(text.rfind(" ", half, end), text.rfind("\t", half, end)) + 1
             if not cut:
-                word, cut = True, end
+                inside = [m.start() for m in _TWO_DENSE.finditer(text, half, end)]
+                later = _BLANK.search(text, end)
+                dense = _TWO_DENSE.search(text, end)
+                cut = inside[-1] if inside else min(later.end() if later else n, dense.start() if dense else n)
             end = cut
+            line = end < n and text[end - 1] != "\n"
+            word = line and not text[end - 1].isspace()
         yield text[at:end], in_line, in_word
         at, in_line, in_word = end, line, word
 
 
-def cut_lines(text: str, size: int = PIECE_CHARS) -> Iterator[tuple[str, bool, bool, bool, list[int]]]:
-    """The pieces of a text: (piece, starts inside a line, ends inside one, starts inside a word, counts of the line left open).
+def cut_lines(text: str, size: int = PIECE_CHARS) -> Iterator[tuple[str, str, str, bool, bool, bool, list[int]]]:
+    """The pieces of a text: (piece, what stands before and after it, starts inside a line, ends inside one, starts inside a word, counts of the line left open).
 
     A line that was cut is counted whole, with the piece in which it starts.
     """
@@ -251,7 +277,7 @@ def cut_lines(text: str, size: int = PIECE_CHARS) -> Iterator[tuple[str, bool, b
         if left_open and (start or not in_line):
             stop = text.find("\n", end)
             _count_line(v, text[at + start : stop if stop >= 0 else len(text)], True)
-        yield piece, in_line, left_open, in_word, v.tolist()
+        yield piece, text[max(0, at - CONTEXT) : at], text[end : end + CONTEXT], in_line, left_open, in_word, v.tolist()
         at, now = end, after
 
 
@@ -302,7 +328,7 @@ def outcome(v: np.ndarray, distinct: float) -> str:
         return "junk"
     if g("blob_chars") > 0.5 * visible and not dense:
         return "junk"
-    if g("mash") > 0.2 * words and common < 0.12 and not dense:
+    if g("brackets") > MASH_SHARE * chars and g("mash") > 0.2 * words and common < 0.12 and not dense:
         return "junk"
     if g("broken") > 0.18 * words and not dense and g("entry_lines") < 0.5 * lines:
         return "junk"
@@ -380,8 +406,10 @@ def document_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", pie
             out = []
             for t in b.column(text).to_pylist():
                 pairs: set[int] = set()
-                first, rest = split_first(t or "")
-                out.append(_stats(measure(first), measure(rest, pairs), smallest(pairs)))
+                t = t or ""
+                first, rest = split_first(t)
+                mash = any(map(t.__contains__, "[];"))
+                out.append(_stats(measure(first, mash=mash), measure(rest, pairs, mash=mash), smallest(pairs)))
             yield rows(b.column(key), out)
 
     source = docs.select(key, text)
@@ -390,7 +418,7 @@ def document_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", pie
 
     state = f"{key} {kinds[key]}, part bigint, counts array<bigint>, sketch array<bigint>, in_word boolean, unspaced boolean, head string, tail string"
     columns = [key, "part", "counts", "sketch", "in_word", "unspaced", "head", "tail"]
-    piece_names = [key, "part", "piece", "in_line", "left_open", "in_word", "unspaced", "line_counts"]
+    piece_names = [key, "part", "piece", "before", "after", "in_line", "left_open", "in_word", "unspaced", "line_counts"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -398,16 +426,16 @@ def document_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", pie
                 k = b.column(key).slice(i, 1)
                 first, rest = split_first(t)
                 unspaced = _unspaced(sum(_kinds(p) for p, *_ in pieces(rest, piece)))
-                whole_first = (first, False, False, False, [0] * len(NAMES))
-                for part, (p, *flags, counts) in enumerate([whole_first, *cut_lines(rest, piece)]):
-                    yield pa.RecordBatch.from_arrays([k, pa.array([part]), pa.array([p]), *(pa.array([f]) for f in (*flags, unspaced)), pa.array([counts], pa.list_(pa.int64()))], piece_names)
+                whole_first = (first, "", "", False, False, False, [0] * len(NAMES))
+                for part, (p, before, after, *flags, counts) in enumerate([whole_first, *cut_lines(rest, piece)]):
+                    yield pa.RecordBatch.from_arrays([k, pa.array([part]), pa.array([p]), pa.array([before]), pa.array([after]), *(pa.array([f]) for f in (*flags, unspaced)), pa.array([counts], pa.list_(pa.int64()))], piece_names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, sketches, edges = [], [], []
-            for part, p, in_line, left_open, unspaced, line_counts in zip(*(b.column(c).to_pylist() for c in ("part", "piece", "in_line", "left_open", "unspaced", "line_counts"))):
+            for part, p, before, after, in_line, left_open, unspaced, line_counts in zip(*(b.column(c).to_pylist() for c in ("part", "piece", "before", "after", "in_line", "left_open", "unspaced", "line_counts"))):
                 pairs: set[int] = set()
-                counts.append((measure(p, pairs, in_line, left_open, unspaced) if part else measure(p)) + np.asarray(line_counts, dtype=np.int64))
+                counts.append((measure(p, pairs, in_line, left_open, unspaced, (before, after)) if part else measure(p)) + np.asarray(line_counts, dtype=np.int64))
                 sketches.append(smallest(pairs))
                 edges.append(_edge_words(p, unspaced))
             yield pa.RecordBatch.from_arrays(
@@ -434,7 +462,7 @@ def document_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", pie
             done = join_pieces(done, s)
         return type(pdf)([(pdf[key].iloc[0], *_stats(first[0], done[0], done[1]))], columns=names)
 
-    cuts = source.where(long).mapInArrow(cut, f"{key} {kinds[key]}, part bigint, piece string, in_line boolean, left_open boolean, in_word boolean, unspaced boolean, line_counts array<bigint>")
+    cuts = source.where(long).mapInArrow(cut, f"{key} {kinds[key]}, part bigint, piece string, before string, after string, in_line boolean, left_open boolean, in_word boolean, unspaced boolean, line_counts array<bigint>")
     parts = cuts.repartition(key, "part").mapInArrow(count, state)
     # The first sentence (part 0) stays apart; the others merge in groups, then together.
     level = parts.withColumn("_group", F.when(F.col("part") > 0, F.floor((F.col("part") - 1) / FAN_IN)).otherwise(F.lit(-1)))

@@ -16,6 +16,7 @@ from . import sentences as S
 #: on either side, far more than a sentence, so that a cut does not depend on where blocks meet.
 BLOCK_WORDS = 8192
 HALO_WORDS = 512
+_DENSE = "\u0E00-\u0EFF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF"
 
 
 def _rank(keys: list[str], weight: Column | None = None) -> Column:
@@ -74,10 +75,26 @@ def value_sentences(df: DataFrame, model: S.Model, keys: list[str], fields: list
     return src.mapInArrow(run, schema)
 
 
+def run_styles(words: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """``run_id, _style``: :func:`sentences.stream_style` of the runs of more than one block, over the whole run.
+
+    Other runs are judged where they are decoded, so they cost one pass over their indices only.
+    """
+    known = words.where(F.col("run_id").isNotNull() & F.col("word_idx").isNotNull())
+    many = known.groupBy("run_id").agg(F.max("word_idx").alias("last")).where(F.col("last") >= block).select("run_id")
+    said = known.join(many, "run_id", "left_semi").where(F.trim("word") != "").groupBy("run_id", "word_idx").agg(F.min("word").alias("word"))
+    count = lambda rx: F.sum(F.length(F.regexp_replace("word", rx, "")))
+    marked = F.count_if(F.instr(F.lit(S.MARKED), F.substring("word", -1, 1)) > 0)
+    letters, dense = count(r"[^\p{L}\p{No}\p{Nl}]+"), count(f"[^{_DENSE}]+")
+    style = F.array(marked <= S.BARE_SHARE * F.count(F.lit(1)), (dense > 0) & (dense * 3 > letters - dense), F.bool_or(F.col("word").rlike("[\u0E00-\u0EFF]")))
+    return said.groupBy("run_id").agg(style.alias("_style"))
+
+
 def by_run_blocks(words: DataFrame, columns: list[str], block: int = BLOCK_WORDS, halo: int = HALO_WORDS) -> DataFrame:
     """Words shuffled by run and block and sorted by index, with the neighbours of each block repeated in it.
 
-    Adds ``_block``. Rows without a run or an index are left out.
+    Adds ``_block`` and ``_style``, which is set in runs of several blocks. Rows without a run or an
+    index have no place in a stream and are left out.
     """
     i = F.col("word_idx")
     k = F.floor(i / F.lit(block)).cast("int")
@@ -85,6 +102,7 @@ def by_run_blocks(words: DataFrame, columns: list[str], block: int = BLOCK_WORDS
     blocks = F.when(inside < halo, F.array(k - 1, k)).when(inside >= block - halo, F.array(k, k + 1)).otherwise(F.array(k))
     rows = words.where(F.col("run_id").isNotNull() & i.isNotNull()).select("run_id", "word_idx", *columns, F.explode(blocks).alias("_block"))
     rows = rows.where(F.col("_block") >= F.lit(0)) if halo else rows
+    rows = rows.join(run_styles(words, block), "run_id", "left")
     return partitioned(rows, "run_id", "_block").sortWithinPartitions("run_id", "_block", "word_idx")
 
 
@@ -129,6 +147,8 @@ class WordBlock:
             t, idx, said = t.filter(pa.array(some)), idx[some], [w for w, x in zip(said, blank) if not x]
         self.table, self.idx, self.words = t, idx, said
         self.core = idx // block == number
+        style = t.column("_style")[0].as_py() if len(t) else None
+        self.style = tuple(style) if style else None
 
     def seconds(self, column: str) -> np.ndarray:
         return self.table.column(column).to_numpy().astype(float)
@@ -156,7 +176,7 @@ def stream_sentences(words: DataFrame, model: S.Model, block: int = BLOCK_WORDS,
             w = WordBlock(t, block)
             if not w.words:
                 continue
-            ends = np.asarray(S.stream_ends(w.words, w.seconds("start_s"), w.seconds("end_s"), m))
+            ends = np.asarray(S.stream_ends(w.words, w.seconds("start_s"), w.seconds("end_s"), m, w.style))
             starts = np.concatenate(([0], ends[:-1] + 1))
             mine = w.core[ends]
             if mine.any():

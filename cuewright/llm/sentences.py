@@ -25,10 +25,9 @@ import numpy as np
 
 from . import marks as M
 
-#: Bounds of the labelled sample, and of a sentence in tokens.
+#: Bounds of the labelled sample.
 SAMPLE_UNITS = 5_000
 SAMPLE_TEXTS = 3_000
-MAX_SPAN = 400
 #: Log-odds for the pause after a word, by its length in seconds: below the first bound the first
 #: value, and so on.
 PAUSE_BOUNDS = (0.1, 0.25, 0.55, 0.9)
@@ -44,8 +43,11 @@ FILLER_SCORE = 4.0
 QUOTE_PENALTY = 4.0
 #: Weight and bound of the length density, for texts with marks and without.
 LENGTH_WEIGHT = {False: (0.1, 0.8), True: (0.2, 2.0)}
-#: Candidates below this log-odds are not tried unless a span would exceed MAX_SPAN.
+#: Candidates below this log-odds are not tried: a cut loses more by them than the length density
+#: (LENGTH_WEIGHT, at most 2) could win back by two spans in place of one.
 FLOOR = -5.0
+#: A stream with marks after at most this share of its words is taken to be written without them.
+BARE_SHARE = 0.04
 
 _END = re.escape(M.ENDERS)
 # A mark that may end a sentence with what closes it; the mark of a decimal or a file name has a letter or digit after it.
@@ -421,10 +423,12 @@ def _open_quotes(text: str) -> int:
 
 
 def decode(sizes: list[int], scores: list[float], total: int, length: tuple[float, float], is_bare: bool, span_text) -> list[int]:
-    """Indices of the chosen cuts. ``span_text(a, b)`` gives the text from cut a to cut b (-1 start, n end) or None.
+    """Indices of the chosen cuts. ``span_text(a, b)`` gives the text from cut a to cut b (-1 start, n end).
 
     best[j] = max over i < j of best[i] + score(j) + length(i, j) - quotes(i, j), where a cut that is
-    not chosen scores nothing. Spans over MAX_SPAN tokens are allowed only where no cut lies inside.
+    not chosen scores nothing. Spans may be of any length. The length density is bounded, so once a
+    span is long enough for its bound, no earlier start can be better than the best one before it
+    less that bound; the search for a start ends where this falls short of what was found.
     """
     n = len(sizes)
     if n == 0:
@@ -434,27 +438,40 @@ def decode(sizes: list[int], scores: list[float], total: int, length: tuple[floa
     at = [0, *sizes, total]
     gain = [0.0, *scores, 0.0]
     best = [0.0] * (n + 2)
+    ahead = [0.0] * (n + 2)  # the best of best[0..i], and where it is
+    lead = [0] * (n + 2)
     back = [0] * (n + 2)
     log = math.log
+    # From this size on the density is at its bound.
+    long = math.exp(mean + spread * math.sqrt(2 * most / weight))
     quotes: dict[tuple[int, int], float] = {}
+
+    def loose(i: int, j: int) -> float:
+        q = quotes.get((i, j))
+        if q is None:
+            q = quotes[(i, j)] = QUOTE_PENALTY * min(_open_quotes(span_text(i - 1, j - 1)), 2)
+        return q
+
     for j in range(1, n + 2):
         top, arg = -1e18, j - 1
         for i in range(j - 1, -1, -1):
             size = at[j] - at[i]
-            if size > MAX_SPAN and i < j - 1:
-                break
-            z = (log(size if size > 0 else 0.5) - mean) / spread
-            s = best[i] - min(weight * z * z / 2, most)
+            if size > long:
+                if ahead[i] - most <= top:
+                    break
+                if loose(lead[i], j) == 0:
+                    top, arg = ahead[i] - most, lead[i]
+                    break
+                s = best[i] - most
+            else:
+                z = (log(size if size > 0 else 0.5) - mean) / spread
+                s = best[i] - min(weight * z * z / 2, most)
             if s > top:
-                t = span_text(i - 1, j - 1)
-                if t is not None:
-                    q = quotes.get((i, j))
-                    if q is None:
-                        q = quotes[(i, j)] = QUOTE_PENALTY * min(_open_quotes(t), 2)
-                    s -= q
+                s -= loose(i, j)
                 if s > top:
                     top, arg = s, i
         best[j] = top + gain[j]
+        ahead[j], lead[j] = (best[j], j) if best[j] > ahead[j - 1] else (ahead[j - 1], lead[j - 1])
         back[j] = arg
     chosen = []
     j = back[n + 1]
@@ -542,8 +559,22 @@ def sentence_ends(text: str, model: Model) -> list[int]:
     return out
 
 
-def stream_ends(words: list[str], starts, stops, model: Model) -> list[int]:
-    """Positions in ``words`` of the last word of every sentence of a run, the final one included."""
+#: Last characters of words that count as marked.
+MARKED = ".!?…。！？,;:、，；：\"”»」" + M.CLOSERS
+
+
+def stream_style(words: list[str]) -> tuple[bool, bool, bool]:
+    """Whether a stream is written without marks, is of a script without spaces, and holds Thai or Lao."""
+    text = "".join(words)
+    # Marks stand after one word in six or so; a few survive where they were taken out.
+    return sum(1 for w in words if w[-1] in MARKED) <= BARE_SHARE * len(words), M.is_unspaced(text), M.SPACED_SENTENCES.search(text) is not None
+
+
+def stream_ends(words: list[str], starts, stops, model: Model, style: tuple[bool, bool, bool] | None = None) -> list[int]:
+    """Positions in ``words`` of the last word of every sentence of a run, the final one included.
+
+    ``style`` is the :func:`stream_style` of the whole run, where ``words`` is only a part of it.
+    """
     n = len(words)
     if n == 0:
         return []
@@ -552,17 +583,14 @@ def stream_ends(words: list[str], starts, stops, model: Model) -> list[int]:
     if n > 1:
         gap = np.asarray(starts[1:], dtype=float) - np.asarray(stops[:-1], dtype=float)
         pauses[: n - 1] = gap.tolist()
-    marked = sum(1 for w in filled if w[-1] in ".!?…。！？,;:、，；：\"”»」" or w[-1] in M.CLOSERS)
-    # Marks stand after one word in six or so; a few survive where they were taken out.
-    is_bare = marked <= 0.04 * n
-    text = "".join(filled)
-    if M.is_unspaced(text):
+    is_bare, unspaced, thai = style or stream_style(filled)
+    if unspaced:
+        text = "".join(filled)
         at, k = [], 0
         for w in filled:
             k += len(w)
             at.append(k)
         index = {e: i for i, e in enumerate(at)}
-        thai = M.SPACED_SENTENCES.search(text) is not None
         where, scores, sizes = char_candidates(text, model, is_bare or thai, at=at, pauses=pauses)
         if where:
             alone = FILLER_PAUSE[is_bare or thai]

@@ -1,9 +1,9 @@
 """Splitting oversized items at natural boundaries (problem 3): content-defined chunking of timed words.
 
-Landmarks are chosen by a hash of the words around a place, so they depend on content only and an
-edit alters only the pieces next to it. A landmark snaps to the nearest natural boundary: a sentence
-end, else a clause mark or a pause inside a sentence that is too long by itself. Pieces stay
-between a minimum and the maximum length, overlap included.
+A rolling hash over the words chooses landmarks, so they depend on content only; each snaps to the
+nearest sentence end. A piece ends at the first landmark past the minimum, or at the last sentence
+end within the maximum where there is none, so an edit alters only the pieces next to it. A sentence
+that is too long by itself is cut inside, at the clause mark or pause nearest its landmark.
 """
 
 from __future__ import annotations
@@ -21,32 +21,43 @@ from ..tables import base_lang, delivered_once, finite, partitioned, table
 from . import sentences as S
 from .sentence_ops import BLOCK_WORDS, HALO_WORDS, WordBlock, by_run_blocks, each_group, fit_model
 
-#: Words in the rolling hash; one boundary in LANDMARK_ONE_IN is a landmark.
+#: Words in the rolling hash; one word in LANDMARK_WORDS is a landmark, so about one sentence end in three.
 HASH_WORDS = 4
-LANDMARK_ONE_IN = 4
-#: Least length of a piece as a share of the maximum, before a landmark may end it.
-LEAST_SHARE = 0.4
+LANDMARK_WORDS = 25
+#: Least length of a piece as a share of the maximum, before a landmark may end it. A small one lets
+#: the cuts meet again soon after an edit.
+LEAST_SHARE = 0.2
 PAUSE_S = 0.25
 #: Sentences and items are laid into time buckets of this length to be joined.
 BUCKET_S = 60.0
 SLACK_S = 0.001
 
 
-def rolling_hashes(words: list[str]) -> list[int]:
-    """Hash of each word with the HASH_WORDS - 1 words before it."""
-    norm = [S.norm(w) for w in words]
-    return [zlib.crc32(" ".join(norm[max(0, i + 1 - HASH_WORDS) : i + 1]).encode("utf-8", "surrogatepass")) for i in range(len(norm))]
+_BASE = 0x9E3779B97F4A7C15
+
+
+def rolling_hashes(words: list[str]) -> np.ndarray:
+    """Hash of each word with the HASH_WORDS - 1 words before it: a polynomial whose oldest term drops out as a word comes in."""
+    known: dict[str, int] = {}
+    h = np.fromiter((known[w] if w in known else known.setdefault(w, zlib.crc32(S.norm(w).encode("utf-8", "surrogatepass"))) for w in words), np.uint64, len(words))
+    out = h.copy()
+    with np.errstate(over="ignore"):
+        for k in range(1, min(HASH_WORDS, len(h))):
+            out[k:] += h[:-k] * np.uint64(pow(_BASE, k, 1 << 64))
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(_BASE)
+    return out >> np.uint64(33)
 
 
 @dataclass
 class Unit:
-    """A stretch that is kept whole: a sentence, or a part of one that is too long."""
+    """A stretch that is kept whole: a sentence, or a part (``alone``) of one that is too long; ``mark`` tells that a landmark snapped to its end."""
 
     start: float
     end: float
     last_idx: int
-    mark: int
+    mark: bool
     sentence_end: bool
+    alone: bool = False
 
 
 def split_long(starts: np.ndarray, ends: np.ndarray, idx: np.ndarray, marks: np.ndarray, natural: np.ndarray, room: float) -> list[Unit]:
@@ -55,45 +66,41 @@ def split_long(starts: np.ndarray, ends: np.ndarray, idx: np.ndarray, marks: np.
     a, n = 0, len(idx)
     while a < n:
         if ends[n - 1] - starts[a] <= room:
-            out.append(Unit(float(starts[a]), float(ends[n - 1]), int(idx[n - 1]), int(marks[n - 1]), True))
+            out.append(Unit(float(starts[a]), float(ends[n - 1]), int(idx[n - 1]), False, True, True))
             break
         fit = np.flatnonzero(ends[a : n - 1] - starts[a] <= room) + a
         if len(fit) == 0:
             b = a  # a single word over the limit stays whole
         else:
-            late = fit[ends[fit] - starts[a] >= LEAST_SHARE * room]
+            late = fit[ends[fit] - starts[a] >= 0.4 * room]
             window = late if len(late) else fit[-1:]
             landmark = window[np.argmin(marks[window])]
             places = window[natural[window]]
             b = int(places[np.argmin(np.abs(places - landmark))]) if len(places) else int(landmark)
-        out.append(Unit(float(starts[a]), float(ends[b]), int(idx[b]), int(marks[b]), b == n - 1))
+        out.append(Unit(float(starts[a]), float(ends[b]), int(idx[b]), False, b == n - 1, True))
         a = b + 1
     return out
 
 
-def chunk(units: list[Unit], limit: float, overlap: float, must: set[int] = frozenset()) -> list[tuple[int, int]]:
+def chunk(units: list[Unit], limit: float, overlap: float) -> list[tuple[int, int]]:
     """Pieces as (first unit, last unit): each fits the limit from ``overlap`` before its cut to its end.
 
-    A cut is made after every sentence in ``must``, those that do not fit together with the next.
-    Units are taken while they fit. A full piece ends at its last landmark past the minimum, else at
-    its last unit; what follows the landmark opens the next piece.
+    A piece ends at the first landmark past the minimum; without one in reach, at the last sentence
+    end that is; without any, at the last unit that fits. What fits whole after a cut is the last
+    piece. The parts of a sentence that is too long share no piece with other sentences.
     """
     pieces: list[tuple[int, int]] = []
     a, n = 0, len(units)
     while a < n:
-        begin = units[a].start if a == 0 else min(units[a].start, units[a - 1].end - overlap)
+        base = units[a].start if a == 0 else units[a - 1].end
+        begin = base if a == 0 else min(units[a].start, base - overlap)
         b = a
-        while b + 1 < n and units[b + 1].end - begin <= limit + 1e-6 and not (units[b].sentence_end and units[b].last_idx in must):
+        while b + 1 < n and units[b + 1].end - begin <= limit + 1e-6 and not (units[b].sentence_end and (units[b].alone or units[b + 1].alone)):
             b += 1
-        if b + 1 < n and not (units[b].sentence_end and units[b].last_idx in must):
-            for k in range(b, a - 1, -1):
-                if units[k].sentence_end and units[k].mark % LANDMARK_ONE_IN == 0 and units[k].end - begin >= LEAST_SHARE * limit:
-                    b = k
-                    break
-            else:
-                ends = [k for k in range(b, a - 1, -1) if units[k].sentence_end]
-                if ends and units[ends[0]].end - begin >= LEAST_SHARE * limit:
-                    b = ends[0]
+        if b + 1 < n:
+            ends = [k for k in range(a, b + 1) if units[k].sentence_end and units[k].end - base >= LEAST_SHARE * limit]
+            if ends:
+                b = next((k for k in ends if units[k].mark), ends[-1])
         pieces.append((a, b))
         a = b + 1
     return pieces
@@ -103,15 +110,16 @@ def chunk(units: list[Unit], limit: float, overlap: float, must: set[int] = froz
 
 
 def timed_sentences(words: DataFrame, model: S.Model, long_s: float, block: int = BLOCK_WORDS, halo: int = HALO_WORDS) -> DataFrame:
-    """``run_id, first_idx, last_idx, start_s, end_s, mark, parts``: sentences of the word streams with their times.
+    """``run_id, first_idx, last_idx, start_s, end_s, to_start, to_end, p_*``: sentences of the word streams with their times.
 
-    ``parts`` holds the words (index, start, end, hash, natural place) of sentences longer than
-    ``long_s`` seconds, the only ones that may have to be cut inside; it is null for the others.
+    ``to_start`` and ``to_end`` tell whether a landmark in the sentence is nearest to its start or its
+    end. ``p_*`` hold the words (index, start, end, hash, natural place) of sentences longer than
+    ``long_s`` seconds, the only ones that may have to be cut inside; they are null for the others.
     """
     shared = words.sparkSession.sparkContext.broadcast(model)
-    schema = "run_id bigint, first_idx int, last_idx int, start_s double, end_s double, mark bigint, p_idx array<int>, p_start array<double>, p_end array<double>, p_mark array<bigint>, p_natural array<boolean>"
+    schema = "run_id bigint, first_idx int, last_idx int, start_s double, end_s double, to_start boolean, to_end boolean, p_idx array<int>, p_start array<double>, p_end array<double>, p_mark array<bigint>, p_natural array<boolean>"
     names = [f.split(" ")[0] for f in schema.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -121,18 +129,21 @@ def timed_sentences(words: DataFrame, model: S.Model, long_s: float, block: int
             if not w.words:
                 continue
             starts, ends = w.seconds("start_s"), w.seconds("end_s")
-            last = S.stream_ends(w.words, starts, ends, m)
+            last = S.stream_ends(w.words, starts, ends, m, w.style)
+            hashes = rolling_hashes(w.words)
+            landmark = hashes % LANDMARK_WORDS == 0
             first = 0
             for e in last:
                 if w.core[e]:
                     a, b = starts[first], ends[e]
-                    mark = rolling_hashes(w.words[max(first, e + 1 - HASH_WORDS) : e + 1])[-1]
-                    row = (w.run_id, int(w.idx[first]), int(w.idx[e]), float(a), float(b), mark)
+                    at = ends[first : e + 1][landmark[first : e + 1]]
+                    early = at - a < b - at
+                    row = (w.run_id, int(w.idx[first]), int(w.idx[e]), float(a), float(b), bool(early.any()), bool((~early).any()))
                     if b - a > long_s:
                         seg = slice(first, e + 1)
                         gap = np.append(starts[first + 1 : e + 1] - ends[first:e], 0.0)
                         clause = np.fromiter((x[-1] in ",;:、，；：—–" for x in w.words[seg]), bool, e + 1 - first)
-                        row += (w.idx[seg].tolist(), starts[seg].tolist(), ends[seg].tolist(), rolling_hashes(w.words[seg]), (clause | (gap >= PAUSE_S)).tolist())
+                        row += (w.idx[seg].tolist(), starts[seg].tolist(), ends[seg].tolist(), hashes[seg].tolist(), (clause | (gap >= PAUSE_S)).tolist())
                     else:
                         row += (None,) * 5
                     rows.append(row)
@@ -152,7 +163,8 @@ def split_items(items: DataFrame, sentences: DataFrame) -> DataFrame:
     ``items`` holds ``run_id, idx, start_s, end_s, max_dur_s, overlap_s``, one row per item. The
     sentences of an item are those that lie whole within its span. ``from_s`` is ``overlap_s``
     before the cut that opens the piece; ``cut`` tells what ends it (sentence, inside, end), and
-    ``forced`` that the sentences before and after the cut do not fit the limit together. Items
+    ``forced`` that the sentences before and after the cut do not fit the limit together, so that any
+    pieces within the limit are cut there. Items
     without words give no row. Joined on the run and a time bucket, so a hot run is spread out.
     """
     bucket = lambda c: F.floor(F.col(c) / BUCKET_S)
@@ -177,16 +189,17 @@ def split_items(items: DataFrame, sentences: DataFrame) -> DataFrame:
             for i in range(len(starts)):
                 room = limit if not units else limit - overlap - max(0.0, starts[i] - units[-1].end)
                 parts = c["p_idx"][i]
+                mark = c["to_end"][i] or i + 1 < len(starts) and c["to_start"][i + 1]
                 if parts is not None and c["end_s"][i] - starts[i] > max(room, 0.25 * limit):
                     cut = split_long(*(np.asarray(c[k][i]) for k in ("p_start", "p_end", "p_idx", "p_mark", "p_natural")), max(min(room, limit - overlap), 0.25 * limit))
                     order = [-1, *(parts.index(u.last_idx) for u in cut[:-1])]
                     firsts += [parts[k + 1] for k in order]
                     units += cut
                 else:
-                    units.append(Unit(starts[i], c["end_s"][i], c["last_idx"][i], c["mark"][i], True))
+                    units.append(Unit(starts[i], c["end_s"][i], c["last_idx"][i], mark, True))
                     firsts.append(c["first_idx"][i])
             out = []
-            for k, (a, b) in enumerate(chunk(units, limit, overlap, forced)):
+            for k, (a, b) in enumerate(chunk(units, limit, overlap)):
                 begin = units[a].start if k == 0 else units[a - 1].end - overlap
                 cut = "end" if b == len(units) - 1 else "sentence" if units[b].sentence_end else "inside"
                 out.append((c["run_id"][0], c["idx"][0], k, begin, units[b].end, firsts[a], units[b].last_idx, cut, cut == "sentence" and units[b].last_idx in forced))

@@ -232,16 +232,21 @@ def _solve(rows: list[tuple[list[int], int, float]], words: frozenset[str], roun
 # -- DataFrame operators -----------------------------------------------------------------------------
 
 
-def field_limits(df: DataFrame, source: str, fields: list[str]) -> DataFrame:
+def value_sizes(df: DataFrame, keys: list[str], source: str, fields: list[str]) -> DataFrame:
+    """``source, field, unit, size`` of every non-null value, a row delivered twice counted once; the texts themselves are not shuffled."""
+    unit = lambda f, u, size: F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.lit(u).alias("unit"), size(f).alias("size")))
+    sizes = F.array(*[unit(f, u, size) for f in fields for u, size in (("char", F.length), ("byte", F.octet_length))])
+    once = delivered_once(df.select(*keys, source, "loaded_at", sizes.alias("sizes")), *keys)
+    return once.select(source, F.explode(F.array_compact("sizes")).alias("s")).select(source, "s.*")
+
+
+def field_limits(sizes: DataFrame, source: str) -> DataFrame:
     """``source, field, unit, size``: lengths at which many values of a source stop, in ``char`` or ``byte``.
 
-    Computed over all rows: a histogram of lengths (partial counts before the shuffle) and, per
-    length, the mean count of its neighbourhood. Null sources are a source of their own.
+    Computed over all values of :func:`value_sizes`: a histogram of lengths (partial counts before the
+    shuffle) and, per length, the mean count of its neighbourhood. Null sources are a source of their own.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("v")) for f in fields])).alias("x")
-    rows = df.select(source, each).select(source, "x.*").where(F.col("v").isNotNull())
-    sizes = F.explode(F.array(F.struct(F.lit("char").alias("unit"), F.length("v").alias("size")), F.struct(F.lit("byte").alias("unit"), F.octet_length("v").alias("size")))).alias("s")
-    hist = rows.select(source, "field", sizes).select(source, "field", "s.*").groupBy(source, "field", "unit", "size").agg(F.count(F.lit(1)).alias("n"))
+    hist = sizes.groupBy(source, "field", "unit", "size").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(source, "field", "unit").orderBy("size")
     near = F.sum("n").over(w.rangeBetween(-LIMIT_SPAN, LIMIT_SPAN))
     top = F.col("n") >= F.greatest(F.lit(LIMIT_LEAST), LIMIT_TIMES * (F.col("near") - F.col("n")) / (2 * LIMIT_SPAN))
@@ -265,8 +270,8 @@ _NONE = (frozenset(), frozenset())
 
 def fit_model(spark: SparkSession, d: str, most: int = SAMPLE_VALUES) -> tuple[Model, dict | DataFrame]:
     """The model, and all limits: a map, or the rows of :func:`field_limits` where they are many."""
-    segments = table(spark, d, "segments", "run_id", "idx", "text_src", "text_target", "feed")
-    limits = field_limits(segments, "feed", FIELDS)
+    segments = table(spark, d, "segments", "run_id", "idx", "text_src", "text_target", "feed", "loaded_at")
+    limits = field_limits(value_sizes(segments, ["run_id", "idx"], "feed", FIELDS), "feed")
     few = limits.limit(MOST_LIMITS + 1).collect()
     rows = segments.select("feed", *FIELDS, F.xxhash64("run_id", "idx").alias("_h")).orderBy("_h", *FIELDS).limit(most).collect()
     if len(few) <= MOST_LIMITS:

@@ -1,8 +1,10 @@
 """Transcripts into clean, ordered speaker turns (problem 2).
 
 The tokens of a segment are tagged speaker, timestamp, annotation, filler or speech by a hidden
-Markov model: observations are token shapes, start and transition weights are re-estimated on a
-bounded sample by Viterbi training, and every text is decoded by Viterbi. The speech tokens are
+Markov model over token shapes, filler phrases and what sets them off. Which shapes a state can emit
+is given; steps between states and emissions are estimated on a bounded sample by Viterbi training,
+and every text is decoded by Viterbi, so whether `este` is a filler, what a dash belongs to or which
+part a loose mark goes with depends on the tokens around it. The speech tokens are
 the clean text; a segment without any is left out. Labels spelt in many ways are joined to the
 cast by their aliases; segments without a label take the label in their text, else the speaker of
 their words; consecutive segments of one speaker form a turn.
@@ -14,21 +16,22 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..tables import delivered_once, table
+from ..tables import delivered_once, finite, table
 from . import marks as M
 from .sentence_ops import bounded_sample
+from .sentences import _guess
 
 STATES = ["speaker", "timestamp", "annotation", "filler", "speech"]
 SAMPLE_TEXTS = 3_000
 #: Segments and words are laid into time buckets of this length to be joined and ordered in pieces.
 BUCKET_S = 20.0
 BLOCK_S = 900.0
+SLACK_S = 0.001
 #: Seconds in which a character is spoken, where a segment has no end.
 READ_S = 0.06
 
@@ -54,24 +57,20 @@ _WORD_LIKE = frozenset("este pues em à ừ er ah ben hm".split())
 # `I` must not loosen the case of names: labels are checked again below.
 _CASED_LABEL = re.compile(r"(?:>>\s*|[-–—]\s*)?(?:(?:[Ss]peaker|SPEAKER|Spkr\.?)[ _-]?[A-Z0-9]{1,2}|[A-ZÀ-Þ][\w'’-]*(?: [A-ZÀ-Þ][\w'’-]*){0,2})\s?:")
 
-# Starting weights (log-odds like scores) of observation given state; a shape not listed scores LOW.
-LOW = -16.0
-EMIT = {
-    "speaker": {"tag": -0.2, "label0": -0.3, "label": -4.0, "dash": -2.0},
-    "timestamp": {"clock": -0.05, "dash": -1.2},
-    "annotation": {"note": -0.05, "music": -0.05, "tag": -2.5},
-    "filler": {"filler": -0.2, "fmark": -0.2, "filler?": -2.5, "mark": -2.0},
-    "speech": {"word": -0.3, "dense": -0.3, "number": -1.5, "paren": -1.0, "label": -2.0, "filler": -9.0, "filler?": -1.0, "mark": -1.5, "note": -14.0, "label0": -8.0, "clock": -14.0},
+#: What each state can emit. Only this is given; how likely is estimated.
+CAN = {
+    "speaker": ["tag", "label0", "label", "dash"], "timestamp": ["clock", "dash", "mark"], "annotation": ["note", "tag"], "filler": ["filler", "mark"],
+    "speech": ["word", "dense", "number", "paren", "label0", "label", "filler", "mark", "dash"],
 }
-
 #: Shapes that a single state emits.
-ONLY = {k: next(s for s in STATES if k in EMIT[s]) for k in {k for e in EMIT.values() for k in e} if sum(k in e for e in EMIT.values()) == 1}
+ONLY = {k: next(s for s in STATES if k in CAN[s]) for k in {k for e in CAN.values() for k in e} if sum(k in e for e in CAN.values()) == 1}
+OUTSIDE = "^"  # before the first token and after the last
 #: Whether a text holds anything but plain speech.
 _SPECIAL = re.compile(rf"[\[\](){{}}<>*♪♫【（＜［〔]|\d:\d|^\s*\S+(?: \S+){{0,2}}\s?:|(?<!\S)[-–—](?=\s)|(?<![^\W_])(?:{_spaced_fillers})(?![^\W_'’-])|{_dense_fillers}", re.I)
 
 
 def shapes(text: str) -> list[tuple[str, int, int]]:
-    """(shape, start, end) of the tokens of a text."""
+    """(shape, start, end) of the tokens of a text; which of its states a shape stands for is left to the model."""
     out: list[tuple[str, int, int]] = []
     at, n = 0, len(text)
     opened = True  # nothing said yet: a label may stand here
@@ -100,8 +99,7 @@ def shapes(text: str) -> list[tuple[str, int, int]]:
             s = text[a:b]
         elif kind == "word":
             core = s.strip("\"'“”‘’«»„.,;:!?…¿¡、，。！？；：")
-            after = out and out[-1][0] == "filler" and out[-1][2] == a
-            kind = ("fmark" if after else "mark") if not any(c.isalnum() for c in s) else "number" if core[:1].isdigit() else "word"
+            kind = "mark" if not any(c.isalnum() for c in s) else "number" if core[:1].isdigit() else "word"
         elif kind == "other":
             kind = "mark"
         out.append((kind, a, b))
@@ -114,34 +112,120 @@ def shapes(text: str) -> list[tuple[str, int, int]]:
 
 
 def _join_fillers(text: str, out: list[tuple[str, int, int]]) -> None:
-    """Fillers of two words that a note stands between; fillers that nothing sets off in a text with marks become doubtful."""
+    """Fillers of two words that a note stands between."""
     spoken = [k for k, t in enumerate(out) if t[0] not in ("note", "clock", "tag")]
     word = lambda k: text[out[k][1] : out[k][2]].strip(",.;:!?…").lower()
     for k, nxt in zip(spoken, spoken[1:]):
         if nxt > k + 1 and out[k][0] == out[nxt][0] == "word" and f"{word(k)} {word(nxt)}" in _PHRASES:
             out[k], out[nxt] = ("filler", *out[k][1:]), ("filler", *out[nxt][1:])
-    if not any(c in text for c in ",，、"):
-        return
-    for k, (kind, a, b) in enumerate(out):
-        if kind == "filler" and text[a:b].isalpha() and text[a:b].lower() in _WORD_LIKE:
-            before = k == 0 or out[k - 1][0] != "word" or text[out[k - 1][2] - 1] in ",.;:!?…—-"
-            after = b == len(text) or text[b] in ",.;:!?…" or k + 1 < len(out) and out[k + 1][0] != "word"
-            if not before and not after:
-                out[k] = ("filler?", a, b)
 
 
-@dataclass
+#: What is seen of a token besides its shape.
+SLOTS = {"filler": ("phrase", "before", "after"), "mark": ("tied",)}
+
+
+def observed(text: str, tokens: list[tuple[str, int, int]]) -> list[tuple[str, ...]]:
+    """What the model sees of each token: its shape, then the values of its SLOTS.
+
+    Of a filler that is the phrase in its language (guessed by the text, as `um` is a word in one
+    and a filler in another) and, in a text with marks, what sets it off on either side; of a loose
+    mark whether it is tied to the token before it.
+    """
+    marked = any(c in text for c in ",，、.。!?！？…")
+    lang = _guess(text) if any(t[0] == "filler" for t in tokens) else ""
+    out: list[tuple[str, ...]] = []
+    for k, (kind, a, b) in enumerate(tokens):
+        if kind == "filler":
+            o = ("filler", lang + " " + " ".join(text[a:b].lower().split()))
+            if marked:
+                before = "edge" if k == 0 or tokens[k - 1][0] not in ("word", "dense", "number") else "mark" if text[tokens[k - 1][2] - 1] in _SET_OFF else "plain"
+                after = "edge" if b == len(text) or k + 1 < len(tokens) and tokens[k + 1][0] not in ("word", "dense", "number", "mark") else "mark" if text[b] in _SET_OFF else "plain"
+                o = (*o, before, after)
+            out.append(o)
+        elif kind == "mark":
+            out.append(("mark", "tied" if k and tokens[k - 1][2] == a else "free"))
+        else:
+            out.append((kind,))
+    return out
+
+
+_SET_OFF = ",.;:!?…—-，、。！？；："
+
+
+def seeded(seen: list[tuple[str, ...]]) -> list[str | None]:
+    """The states that can be told without a model, from which it is first estimated; None where only the sequence can tell."""
+    out: list[str | None] = []
+    for k, o in enumerate(seen):
+        kind = o[0]
+        last = out[-1] if out else None
+        nxt = seen[k + 1][0] if k + 1 < len(seen) else OUTSIDE
+        if kind in ONLY:
+            out.append(ONLY[kind])
+        elif kind == "filler":
+            lone = len(o) > 2 and "plain" not in o[2:]
+            plain = len(o) > 2 and o[2:] == ("plain", "plain")
+            lang, phrase = o[1].split(" ", 1)
+            word_like = phrase in _WORD_LIKE or phrase not in M.FILLERS.get(lang, ())
+            out.append("filler" if lone or not word_like else "speech" if plain else None)
+        elif kind == "mark":
+            out.append(last if o[1] == "tied" and last in ("filler", "timestamp") else "speech")
+        elif kind == "dash":
+            out.append("timestamp" if last == "timestamp" else "speaker" if nxt in ("label0", "tag") or not k else "speech" if last == "speech" else None)
+        elif kind == "label0":
+            out.append("speaker")
+        elif kind == "label":
+            out.append("speech")
+        else:  # a tag
+            out.append("speaker" if k == 0 else None)
+    return out
+
+
 class Tagger:
-    start: dict[str, float]
-    step: dict[tuple[str, str], float]
+    """A hidden Markov model: log-probabilities of steps between states and of what a state emits.
+
+    What is seen of a token (:func:`observed`) is independent given its state. All of it are relative
+    frequencies with half a count added.
+    """
+
+    def __init__(self, steps: Counter, emitted: Counter):
+        self.step: dict[tuple[str, str], float] = {}
+        for a in (OUTSIDE, *STATES):
+            total = sum(steps[a, b] for b in (*STATES, OUTSIDE)) + 0.5 * (len(STATES) + 1)
+            for b in (*STATES, OUTSIDE):
+                self.step[a, b] = math.log((steps[a, b] + 0.5) / total)
+        self.seen: dict[tuple, float] = {}
+        self.unseen: dict[tuple, float] = {}
+        values: dict[str, set[str]] = {}
+        for _, slot, v in emitted:
+            values.setdefault(slot, set()).add(v)
+        for s in STATES:
+            for slot in ("shape", *(x for xs in SLOTS.values() for x in xs)):
+                known = CAN[s] if slot == "shape" else sorted(values.get(slot, ()))
+                total = sum(emitted[s, slot, v] for v in known) + 0.5 * (len(known) + 1)
+                self.unseen[s, slot] = math.log(0.5 / total)
+                for v in known:
+                    self.seen[s, slot, v] = math.log((emitted[s, slot, v] + 0.5) / total)
+
+    def emission(self, state: str, o: tuple[str, ...]) -> float:
+        if o[0] not in CAN[state]:
+            return float("-inf")
+        score = self.seen[state, "shape", o[0]]
+        for slot, v in zip(SLOTS.get(o[0], ()), o[1:]):
+            score += self.seen.get((state, slot, v), self.unseen[state, slot])
+        return score
+
+    def apart(self, o: tuple[str, ...]) -> str:
+        """The state that most likely emits a token seen by itself; what the sequence is worth is measured against it."""
+        return max(STATES, key=lambda s: self.emission(s, o))
 
     def tag(self, text: str) -> list[tuple[str, int, int]]:
         """(state, start, end) of every token: the best path by Viterbi.
 
         A shape that only one state can emit fixes its state, so the lattice is decoded in the
-        short stretches between such tokens.
+        stretches between such tokens, which gives the same path as decoding all of it.
         """
         tokens = shapes(text)
+        seen = observed(text, tokens)
         path: list[str] = []
         i, n = 0, len(tokens)
         while i < n:
@@ -153,22 +237,22 @@ class Tagger:
             j = i
             while j < n and tokens[j][0] not in ONLY:
                 j += 1
-            path += self._decode([t[0] for t in tokens[i:j]], path[-1] if path else None, ONLY[tokens[j][0]] if j < n else None)
+            path += self._decode(seen[i:j], path[-1] if path else OUTSIDE, ONLY[tokens[j][0]] if j < n else OUTSIDE)
             i = j
         return [(s, a, b) for s, (_, a, b) in zip(path, tokens)]
 
-    def _decode(self, kinds: list[str], before: str | None, after: str | None) -> list[str]:
-        score = {s: (self.start[s] if before is None else self.step[before, s]) + EMIT[s].get(kinds[0], LOW) for s in STATES}
+    def _decode(self, seen: list[tuple[str, ...]], before: str, after: str) -> list[str]:
+        score = {s: self.step[before, s] + self.emission(s, seen[0]) for s in STATES}
         back: list[dict[str, str]] = []
-        for kind in kinds[1:]:
+        for o in seen[1:]:
             now, arg = {}, {}
             for s in STATES:
                 p = max(STATES, key=lambda q: score[q] + self.step[q, s])
-                now[s] = score[p] + self.step[p, s] + EMIT[s].get(kind, LOW)
+                now[s] = score[p] + self.step[p, s] + self.emission(s, o)
                 arg[s] = p
             score = now
             back.append(arg)
-        s = max(STATES, key=lambda q: score[q] + (self.step[q, after] if after else 0.0))
+        s = max(STATES, key=lambda q: score[q] + self.step[q, after])
         path = [s]
         for arg in reversed(back):
             s = arg[s]
@@ -176,27 +260,32 @@ class Tagger:
         return path[::-1]
 
 
-def fit(texts: list[str], rounds: int = 2) -> Tagger:
-    """Start and transition weights by Viterbi training from uniform ones; deterministic in the multiset of texts."""
-    model = Tagger(dict.fromkeys(STATES, math.log(1 / len(STATES))), {(a, b): math.log(1 / len(STATES)) for a in STATES for b in STATES})
+def fit(texts: list[str], rounds: int = 3) -> Tagger:
+    """Steps and emissions by Viterbi training.
+
+    First from the tokens whose state is plain by itself, then from the best paths of the model
+    before; deterministic in the multiset of texts.
+    """
+    plain = [M.unescape(t)[0] for t in texts]
+    kept = [(t, observed(t, shapes(t))) for t in plain]
+    paths = [seeded(o) for _, o in kept]
+    model = _estimate(kept, paths)
     for _ in range(rounds):
-        first, step = Counter(), Counter()
-        for t in texts:
-            path = [s for s, _, _ in model.tag(M.unescape(t)[0])]
-            if path:
-                first[path[0]] += 1
-                step.update(zip(path, path[1:]))
-        total = sum(first.values()) + len(STATES)
-        out = Counter()
-        for (a, _), n in step.items():
-            out[a] += n
-        model = Tagger(
-            {s: math.log((first[s] + 1) / total) for s in STATES},
-            {(a, b): math.log((step[a, b] + 1) / (out[a] + len(STATES))) for a in STATES for b in STATES},
-        )
+        model = _estimate(kept, [[s for s, _, _ in model.tag(t)] for t, _ in kept])
     return model
 
 
+def _estimate(kept: list[tuple[str, list[tuple[str, ...]]]], paths: list[list[str | None]]) -> Tagger:
+    steps, emitted = Counter(), Counter()
+    for (_, seen), path in zip(kept, paths):
+        if not path:
+            continue
+        whole = [OUTSIDE, *path, OUTSIDE]
+        steps.update((a, b) for a, b in zip(whole, whole[1:]) if a and b)
+        emitted.update((s, slot, v) for s, o in zip(path, seen) if s for slot, v in zip(("shape", *SLOTS.get(o[0], ())), o))
+    return Tagger(steps, emitted)
+
+
 def clean(text: str | None, model: Tagger) -> tuple[str, str | None]:
     """(clean speech, speaker label in the text). Empty speech means that nothing is said."""
     if not text:
@@ -271,13 +360,16 @@ def _by_words(unnamed: DataFrame, words: DataFrame) -> DataFrame:
     delivered twice counts once: only the words inside a span are reduced, by ``word_idx`` or, where
     the words have none, by their content.
     """
-    bucket = lambda c: F.floor(F.col(c) / BUCKET_S)
+    bucket = lambda c: F.floor(c / BUCKET_S)
     # An open or reversed span is taken to last as long as its text is read.
+    begun = unnamed.withColumn("start_s", finite(F.col("start_s"))).withColumn("end_s", finite(F.col("end_s"))).where(F.col("start_s").isNotNull())
     end = F.when(F.col("end_s") > F.col("start_s"), F.col("end_s")).otherwise(F.col("start_s") + 0.5 + READ_S * F.length("text_src"))
-    spans = unnamed.where(F.col("start_s").isNotNull() & ~F.isnan("start_s")).withColumn("end_s", end).select("run_id", "idx", "start_s", "end_s", F.lower("text_src").alias("said"), F.explode(F.sequence(bucket("start_s"), bucket("end_s"))).alias("_bucket"))
+    # A word up to SLACK_S outside a span may lie in the next bucket: buckets of words are SLACK_S early, and a span reaches as far.
+    reach = F.sequence(bucket(F.col("start_s")), bucket(F.col("end_s") + 2 * SLACK_S))
+    spans = begun.withColumn("end_s", end).select("run_id", "idx", "start_s", "end_s", F.lower("text_src").alias("said"), F.explode(reach).alias("_bucket"))
     key = ["word_idx"] if "word_idx" in words.columns else []
-    heard = words.where(F.col("speaker").isNotNull() & F.col("word").isNotNull()).select("run_id", F.col("start_s").alias("ws"), F.col("end_s").alias("we"), "word", F.col("speaker").alias("heard"), bucket("start_s").alias("_bucket"), *key)
-    inside = (F.col("ws") >= F.col("start_s") - 0.001) & (F.col("we") <= F.col("end_s") + 0.001)
+    heard = words.where(F.col("speaker").isNotNull() & F.col("word").isNotNull()).select("run_id", F.col("start_s").alias("ws"), F.col("end_s").alias("we"), "word", F.col("speaker").alias("heard"), bucket(F.col("start_s") + SLACK_S).alias("_bucket"), *key)
+    inside = (F.col("ws") >= F.col("start_s") - SLACK_S) & (F.col("we") <= F.col("end_s") + SLACK_S)
     core = F.lower(F.regexp_replace("word", r"^[\p{P}\s]+|[\p{P}\s]+$", ""))
     pairs = spans.join(heard, ["run_id", "_bucket"]).where(inside).select("run_id", "idx", "heard", "ws", "we", "word", F.contains("said", core).cast("int").alias("own"), *key)
     once = pairs.groupBy("run_id", "idx", *(key or ["heard", "ws", "we", "word"])).agg(F.min(F.struct("heard", "ws", "own")).alias("x")).select("run_id", "idx", "x.*")

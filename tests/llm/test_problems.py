@@ -1,5 +1,6 @@
 """Edges of the text operators: nulls, empty and long texts, ties and repeats, empty tables, clashing names."""
 
+import math
 import random
 
 import pytest
@@ -69,6 +70,59 @@ def test_stream_blocks_agree(spark, model):
     assert sentence_ops.stream_sentences(df.where("false"), model).count() == 0
 
 
+def test_long_sentence_is_not_cut(model):
+    middle = " and ".join(["Dr. Hask says that the glossary needs it"] * 100)
+    text = f"Okay, that works! {middle}. How long does it take?"
+    assert len(text.split()) > 700 and cut(text, model) == ["Okay, that works!", middle + ".", "How long does it take?"]
+
+
+def test_decode_against_plain_search():
+    rng = random.Random(9)
+    for trial in range(120):
+        n, is_bare = rng.randrange(1, 60), trial % 2 == 0
+        sizes = sorted(rng.sample(range(1, rng.choice((80, 4000))), n))
+        scores = [rng.gauss(-0.5 if trial % 3 else -3, 2) for _ in sizes]
+        signs = [rng.choice(["", "", "", '"', "“", "”"]) for _ in range(n + 1)]
+        text = lambda a, b: "".join(signs[a + 1 : b + 1])
+        total, length = sizes[-1] + rng.randrange(1, 50), (2.3, 0.6)
+        got = sentences.decode(sizes, scores, total, length, is_bare, text)
+        weight, most = sentences.LENGTH_WEIGHT[is_bare]
+
+        def worth(chosen):
+            at, sum_ = [-1, *chosen, n], 0.0
+            for a, b in zip(at, at[1:]):
+                size = (sizes[b] if b < n else total) - (sizes[a] if a >= 0 else 0)
+                sum_ -= min(weight * ((math.log(max(size, 0.5)) - length[0]) / length[1]) ** 2 / 2, most) + sentences.QUOTE_PENALTY * min(sentences._open_quotes(text(a, b)), 2)
+                sum_ += scores[b] if b < n else 0.0
+            return sum_
+
+        best = [0.0] + [-1e9] * (n + 1)
+        at = [0, *sizes, total]
+        for j in range(1, n + 2):
+            for i in range(j):
+                size = at[j] - at[i]
+                s = best[i] - min(weight * ((math.log(max(size, 0.5)) - length[0]) / length[1]) ** 2 / 2, most) - sentences.QUOTE_PENALTY * min(sentences._open_quotes(text(i - 1, j - 1)), 2)
+                best[j] = max(best[j], s + (scores[j - 1] if j <= n else 0.0))
+        assert abs(worth(got) - best[n + 1]) < 1e-9
+
+
+def test_blocks_are_judged_by_their_run(spark, model):
+    """A run that is written with marks only in places is decoded alike whole and in blocks."""
+    rng = random.Random(3)
+    rows, t = [], 0.0
+    for i in range(400):
+        text = rng.choice(UNITS[:10])
+        for w in (text if i < 40 or i > 380 else text.lower().translate(str.maketrans("", "", ".,!?\""))).split():
+            rows.append((1, len(rows), t, t + 0.3, w))
+            t += 0.4
+        t += 0.6
+    df = spark.createDataFrame(rows, "run_id bigint, word_idx int, start_s double, end_s double, word string")
+    words_ = [r[4] for r in rows]
+    style = sentence_ops.run_styles(df, 500).collect()
+    assert [tuple(r["_style"]) for r in style] == [sentences.stream_style(words_)] and sentence_ops.run_styles(df).count() == 0
+    assert sorted_rows(sentence_ops.stream_sentences(df, model, block=10**6)) == sorted_rows(sentence_ops.stream_sentences(df, model, block=900, halo=300))
+
+
 def test_value_sentences_edges(spark, model):
     df = spark.createDataFrame([(1, 0, None, ""), (1, 1, "Okay, that works! How long does it take?", "Okay."), (2, 0, "  ", None)], "run_id bigint, idx int, text_src string, text_target string").withColumn("field", F.lit("clash")).withColumn("end_pos", F.lit(9))
     assert sorted_rows(sentence_ops.value_sentences(df, model, ["run_id", "idx"], ["text_src", "text_target"])) == [(1, 1, "text_src", 17)]
@@ -119,6 +173,13 @@ def test_words_delivered_twice_vote_once(spark):
     assert sorted_rows(turns._by_words(_segs(spark, rows), df)) == [(1, 0, "A"), (2, 0, "B")]
 
 
+def test_words_at_the_edges_of_buckets(spark):
+    rows = [(1, 0, 20.0, 21.0, None, "It failed."), (2, 0, 35.0, 40.0, None, "It failed."), (3, 0, 5.0, float("inf"), None, "It failed."), (4, 0, float("nan"), 9.0, None, "x")]
+    words = [(1, 0, 19.9995, 20.5, "It", "B"), (2, 0, 39.5, 40.0008, "failed.", "C"), (3, 0, 5.1, 5.3, "It", "D"), (4, 0, 1.0, 2.0, "x", "E"), (3, 1, float("nan"), float("inf"), "It", "E")]
+    df = spark.createDataFrame(words, "run_id bigint, word_idx int, start_s double, end_s double, word string, speaker string")
+    assert sorted_rows(turns._by_words(_segs(spark, rows), df)) == [(1, 0, "B"), (2, 0, "C"), (3, 0, "D")]
+
+
 def test_turns_over_time_blocks(spark):
     rows = [(1, i, float(i * 100), float(i * 100 + 50), "x", "AB"[i // 25 % 2]) for i in range(100)]
     df = spark.createDataFrame(rows, "run_id bigint, idx int, start_s double, end_s double, clean_text string, letter string")
@@ -146,7 +207,7 @@ def test_speakers_carry_over_time_blocks(spark):
 
 
 def test_chunk_rules():
-    u = lambda *spans: [split.Unit(a, b, i, i * 7 + 1, True) for i, (a, b) in enumerate(spans)]
+    u = lambda *spans: [split.Unit(a, b, i, False, True) for i, (a, b) in enumerate(spans)]
     assert split.chunk(u((0, 4), (4, 8), (8, 12)), 20, 1) == [(0, 2)]
     assert split.chunk(u((0, 9), (9, 18)), 10, 0.5) == [(0, 0), (1, 1)]
     assert split.chunk([], 10, 1) == []
@@ -157,7 +218,7 @@ def test_chunk_rules():
             a = t + rng.random()
             t = a + rng.uniform(0.2, 8)
             spans.append((a, t))
-        us = [split.Unit(a, b, i, rng.randrange(1000), True) for i, (a, b) in enumerate(spans)]
+        us = [split.Unit(a, b, i, rng.random() < 0.3, True) for i, (a, b) in enumerate(spans)]
         pieces = split.chunk(us, 10, 1.0)
         assert pieces[0][0] == 0 and pieces[-1][1] == len(us) - 1 and all(x[1] + 1 == y[0] for x, y in zip(pieces, pieces[1:]))
         for k, (a, b) in enumerate(pieces):
@@ -167,17 +228,53 @@ def test_chunk_rules():
         assert all(i in ends for i in range(len(us) - 1) if us[i + 1].end - us[i].start > 10)
 
 
+def _letters(i):
+    return "".join("abcdefghij"[int(c)] for c in str(i))
+
+
+def test_rolling_hashes_are_local():
+    ws = [_letters(random.Random(i).randrange(60)) for i in range(300)]
+    h = split.rolling_hashes(ws).tolist()
+    assert all(split.rolling_hashes(ws[i - 3 : i + 1]).tolist()[-1] == h[i] for i in range(3, 300))
+    assert split.rolling_hashes([]).tolist() == [] and 4 < sum(x % split.LANDMARK_WORDS == 0 for x in split.rolling_hashes([_letters(i) for i in range(300)]).tolist()) < 25
+
+
 def test_split_edits_stay_local():
+    """Of single edits that also lengthen a sentence, 95 % change at most two cuts."""
     rng = random.Random(5)
-    words = [rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randrange(50)) for _ in range(4000)]
-
-    def units(ws):
-        return [split.Unit(k * 2.0, k * 2.0 + 1.9, k, split.rolling_hashes(ws[k * 5 : k * 5 + 5])[-1], True) for k in range(len(ws) // 5)]
 
-    text = lambda ws: {tuple(ws[a * 5 : b * 5 + 5]) for a, b in split.chunk(units(ws), 15, 1)}
-    before = text(words)
-    edited = words[:1000] + ["new"] * 5 + words[1000:]
-    assert len(text(edited) - before) <= 4
+    def units(sentences_):
+        out, t, ws, ends = [], 0.0, [], []
+        for text in sentences_:
+            begin = t
+            for w in text:
+                ws.append(w)
+                ends.append(t + 0.3)
+                t += 0.4
+            out.append((begin, t - 0.1, len(ws)))
+            t += 0.2
+        landmark = [h % split.LANDMARK_WORDS == 0 for h in split.rolling_hashes(ws).tolist()]
+        early, late, first = [], [], 0
+        for a, b, n in out:
+            at = [ends[k] for k in range(first, n) if landmark[k]]
+            early.append(any(x - a < b - x for x in at))
+            late.append(any(x - a >= b - x for x in at))
+            first = n
+        return [split.Unit(a, b, i, late[i] or early[i + 1 : i + 2] == [True], True) for i, (a, b, _) in enumerate(out)]
+
+    cuts = lambda ss: {tuple(ss[b]) for _, b in split.chunk(units(ss), 20, 2)[:-1]}
+    few, most = 0, 0
+    for trial in range(200):
+        ss = [[_letters(rng.randrange(10**6)) for j in range(min(32, max(2, int(rng.lognormvariate(2.1, 0.6)))))] for k in range(100)]
+        k = rng.randrange(len(ss))
+        edited = ss[:k] + [[w + "x" if j % 2 else w for j, w in enumerate(ss[k])] + ["more"] * rng.randrange(10)] + ss[k + 1 :]
+        # The edited sentence itself is the same place in both.
+        name = lambda c: {("edited",) if x in (tuple(ss[k]), tuple(edited[k])) else x for x in c}
+        a, b = name(cuts(ss)), name(cuts(edited))
+        changed = max(len(a - b), len(b - a))
+        few, most = few + (changed <= 2), max(most, changed)
+    print(f"edits that change at most two cuts: {few} of 200, most changed: {most}")
+    assert few >= 190 and most <= 8
 
 
 def test_split_items(spark, model):
@@ -218,7 +315,10 @@ def test_truncation(spark):
 def test_field_limits(spark):
     rng = random.Random(3)
     rows = [("a", "x" * 80) for _ in range(40)] + [("a", "y" * rng.randrange(1, 80)) for _ in range(400)] + [(None, None)] + [("b", "ü" * rng.randrange(1, 200)) for _ in range(400)]
-    got = truncation.field_limits(spark.createDataFrame(rows, "feed string, t string"), "feed", ["t"])
+    # A row delivered many times counts once, so its length is no limit.
+    rows = [(i, *r) for i, r in enumerate(rows)] + [(9_999, "b", "z" * 91)] * 60
+    df = spark.createDataFrame(rows, "id bigint, feed string, t string").withColumn("loaded_at", F.lit("2024-01-01").cast("timestamp"))
+    got = truncation.field_limits(truncation.value_sizes(df, ["id"], "feed", ["t"]), "feed")
     assert ("a", "t", "char", 80) in sorted_rows(got) and not [r for r in got.collect() if r["feed"] == "b"]
 
 
@@ -230,7 +330,7 @@ def test_limits_of_many_sources_all_count(spark, tmp_path, monkeypatch):
             text = " ".join(rng.choice(UNITS[:10]) for _ in range(rng.randrange(1, 4)))
             rows.append((1, len(rows), text[:limit], text[: rng.choice((limit, 500))], feed, "en", "en"))
     df = spark.createDataFrame(rows, "run_id bigint, idx int, text_src string, text_target string, feed string, source_lang string, target_lang string")
-    df.write.parquet(str(tmp_path / "segments.parquet"))
+    df.withColumn("loaded_at", F.current_timestamp()).write.parquet(str(tmp_path / "segments.parquet"))
     known = pairs.Languages([("en", u) for u in UNITS[:10]] * 3)
     got = []
     for most in (20_000, 1):
@@ -242,7 +342,7 @@ def test_limits_of_many_sources_all_count(spark, tmp_path, monkeypatch):
 
 def test_pair_rules():
     known = pairs.Languages([("en", u) for u in UNITS[:10]] * 3 + [("zh", u) for u in UNITS[120:126]] * 3 + [("fr", "la séance est dans la salle et le micro est en place"), ("fr", "nous avons vérifié le glossaire avant la caméra")] * 5)
-    d = lambda p, r, s="en", t="fr", cut=False: pairs.defects(p, r, s, t, known, cut)
+    d = lambda p, r, s="en", t="fr", cut=False: pairs.defects(p, r, s, t, known, lambda: cut)
     p = "We checked the audio mix before we touched the camera."
     for blank in (None, "", " \n", "​", "N/A", "—", "null", "...", "[applause]"):
         assert d(p, blank) == ["empty"]
@@ -259,6 +359,30 @@ def test_pair_rules():
     assert d("", "x") == [] and d(None, None) == []
 
 
+def test_refusals_in_any_spacing():
+    for no in ("Je ne peux\npas traduire ce texte", "As an\nAI system, no", "Xin lỗi, tôi không\n thể  dịch", "I do not feel\tcomfortable with this line", "Dieser Text kann leider nicht über setzt werden, muss ich ablehnen", "je dois  décliner"):
+        assert pairs.refused(no), no
+    # Nothing that the long pattern finds is lost by the cheap test before it.
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=1500, deadline=None, database=None, derandomize=True, suppress_health_check=list(HealthCheck))
+    @given(st.from_regex(pairs.REFUSALS))
+    def complete(text):
+        assert pairs.refused(text) == (pairs.REFUSALS.search(text) is not None)
+
+    complete()
+
+
+def test_delimiters_endings_prefixes_scripts():
+    assert pairs.unclosed('He said "stop') and pairs.unclosed("the list (one, two") and pairs.unclosed("「没错") and not pairs.unclosed('He said "stop" (twice).')
+    assert all(map(pairs.abrupt, ("it failed and", "it failed…", "asked Dr.", "a, b,", "失败了"))) and not any(map(pairs.abrupt, ("It failed badly.", "失败了。", "Is it “done”?", "ended.) ")))
+    w = str.split
+    assert pairs.copied_prefix(w("a b c d e"), w("a b c d")) and pairs.copied_prefix(w("a b c d"), w("a b c x")) and not pairs.copied_prefix(w("a b c d"), w("a x b c d")) and not pairs.copied_prefix([], ["a"])
+    assert pairs.foreign_script("เราตรวจสอบคำแปล", "en", "fr") and pairs.foreign_script("これは日本語です", "zh", "en") and pairs.foreign_script("plain English words", "zh", "th")
+    assert not pairs.foreign_script("我们先检查", "ja", "en") and not pairs.foreign_script("Bonjour", "xx", "fr") and not pairs.foreign_script("", "zh", "th") and not pairs.foreign_script("一", "en", "fr")
+
+
 def test_pairs_frame(spark):
     known, m = pairs.Languages([]), truncation.fit([])
     df = spark.createDataFrame([(1, 0, "Right.", None, None, None, None), (1, 1, None, "x", "f", "en", "fr")], "run_id bigint, idx int, text_src string, text_target string, feed string, source_lang string, target_lang string").withColumn("defects", F.lit("clash"))
@@ -287,6 +411,83 @@ def test_leaks(spark):
     assert leaks.leaks(d.where("false"), i).count() == 0 and leaks.leaks(d, i.where("false")).count() == 0
 
 
+def test_short_passages(spark):
+    rng = random.Random(7)
+    noise = lambda n: " ".join(rng.choice("we check mix line tape reel note desk room cue card lamp".split()) for _ in range(n))
+    word = lambda n: " ".join(rng.sample(_VOCABULARY, n))
+    short = [word(1 + i) for i in range(8)]
+    middle = [word(9 + i % 11) for i in range(40)]
+    items = list(enumerate(short + middle))
+    docs, want = [], set()
+    for i, p in items:
+        ws = p.split()
+        docs.append((len(docs), f"{noise(40)} {p.upper()}, {noise(30)}"))
+        want.add((docs[-1][0], i))
+        if len(ws) >= 9:  # a little over half of it, from any place
+            n = len(ws) // 2 + 1
+            at = rng.randrange(len(ws) - n + 1)
+            docs.append((len(docs), f"{noise(40)} {' '.join(ws[at : at + n])} {noise(30)}"))
+            want.add((docs[-1][0], i))
+    got = leaks.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id int, passage string"))
+    found = {(r["doc_id"], r["item_id"]) for r in got.collect()}
+    # Other passages of the same few words may be held by chance, none may be missed.
+    whole = {(d, i) for d, t in docs for i, p in items if len(p.split()) < 9 and f" {p} " in f" {t.lower().replace(',', '')} "}
+    assert want <= found and {x for x in found if len(items[x[1]][1].split()) < 9} == whole
+
+
+def test_filter_loses_nothing():
+    import numpy as np
+
+    rng = np.random.RandomState(3)
+    for n in (1, 50, 20_000):
+        v = rng.randint(0, 2**62, n).astype(np.uint64) >> np.uint64(20)
+        f = leaks.Filter(v)
+        assert len(f.maybe(v)) == n and len(f.maybe(rng.randint(0, 2**62, 10_000).astype(np.uint64))) < 900
+        at, owner = leaks.Lookup(v, np.arange(n)).find(v)
+        assert set(at.tolist()) == set(range(n)) and all(v[a] == v[o] for a, o in zip(at.tolist(), owner.tolist()))
+
+
+def test_stretch_is_found_among_many_chains():
+    """Over forty other chains lie between the words of one stretch."""
+    shared = "one two three four five".split()
+    passage = [w for k in range(50) for w in (*shared, f"own{k}")]
+    index = leaks.build_index([(1, " ".join(passage))])
+    doc = [w for k in range(0, 50) for w in (*shared, f"own{k}")]
+    assert leaks.search([" ".join(doc)], index)[0][2] == 1.0
+    far = [w for k in range(50) for w in (*shared, f"other{k}")]
+    assert leaks.search([" ".join(far)], index) == []
+
+
+def test_many_patterns(spark, monkeypatch):
+    """With more sets of sources than are solved at once no unit is lost and quotas are filled as before."""
+    docs = [(k * 10 + j, src, f"text {k} " + "word " * (k % 5)) for k in range(300) for j, src in enumerate("abcde"[: 1 + k % 5])]
+    t = spark.createDataFrame([(1, x, 0.2, 2, 0.2) for x in "abcde"], "mix_id int, source string, target_share double, max_repeats int, size_ratio double")
+    d = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    get = lambda: {r["source"]: r["n_tokens"] for r in mix.shares(mix.mix(d, t), t).collect()}
+    exact = get()
+    monkeypatch.setattr(mix.few_patterns, "__defaults__", (2,))
+    few = get()
+    assert all(abs(few[x] - exact[x]) <= 0.1 * exact[x] + 20 for x in exact), (exact, few)
+
+
+def test_cluster_without_shared_folder_is_refused():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Frame:
+        class sparkSession:
+            sparkContext = Context()
+
+            class conf:
+                get = staticmethod(lambda *a: None)
+
+    with pytest.raises(ValueError):
+        mix.kept(Frame())
+
+
 def test_mix_flow():
     got = mix.routes({"a": 100, "a|b": 50, "b": 10}, {"a": 220, "b": 60}, {"a": 2, "b": 3})
     by = {}
@@ -342,8 +543,17 @@ def test_quality_cut_lines_count_whole(spark):
     one_line = " ".join(rng.choice(pool) + " |" * (i % 300 == 7) for i in range(8000))
     docs = [(1, base * 5), (2, None), (3, ""), (4, base * 900), (5, "• item one\n" * 9000), (6, "x" * 90_000), (7, base * 5), (8, "没错。我们先检查了字幕文件。" * 3000), (9, one_line), (10, "Short one.\n\n" + one_line + "\n" + one_line[:9000] + "\nEnd")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    parts, whole = (sorted_rows(quality.document_stats(df, piece=n)) for n in (5_000, 10**7))
-    assert parts == whole and {r[0]: r[-1] for r in parts}[9] == "prose"
+    ui = "Next Previous NaN Pause HD CC Like null Advertisement 0:12 / 3:45 <a href=x y=z> {{ item }} Log in Sign up " * 60
+    mixed = "".join(rng.choice(["日程安排真的完成了吗，", "Quill notes.v5 ", "失败了5次！", "a[b];c 'x ", "ab.cd;ef,gh|12ij ", "เราตรวจสอบ"]) for _ in range(2500))
+    docs += [(11, ui), (12, ui.replace(" ", "\n")), (13, mixed), (14, "| a | b | c " * 4000), (15, "x,1;y:2" * 9000 + " end " + "z" * 700 + "\n" + "q;[" * 3000), (16, ("d'accord, l'analyse " * 30 + "\n") * 40), (17, "日程安排" * 6000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    whole = sorted_rows(quality.document_stats(df, piece=10**7))
+    for n in (400, 977, 5_000, 20_011):
+        parts = sorted_rows(quality.document_stats(df, piece=n))
+        for a, b in zip(parts, whole):
+            assert a == b, (n, a, b)
+    assert {r[0]: r[-1] for r in whole}[11] == "junk" and {r[0]: r[-1] for r in whole}[14] == "list"
+    assert {r[0]: r[-1] for r in parts}[9] == "prose"
 
 
 def test_marks():
