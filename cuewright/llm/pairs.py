@@ -32,6 +32,11 @@ LANGUAGE_MARGIN = 4.0
 # What stands for a missing text.
 PLACEHOLDERS = {"n/a", "na", "null", "none", "nan", "nil", "tbd", "todo", "undefined", "-", "--", "—", "–", "...", "…", "?", "n.a.", "[empty]", "<empty>"}
 
+LONGEST_PLACEHOLDER = max(map(len, PLACEHOLDERS))
+#: Spaces, control and format characters, and any letter or digit.
+_INVISIBLE = re.compile(r"[\s\x00-\x1f\x7f-\xa0\xad\u200b-\u200f\u2028-\u202e\u2060-\u2064\ufeff]+")
+_SAID = re.compile(r"[^\W_]")
+
 # Ways in which an assistant declines, by language. Each needs the act that is declined
 # (to translate, help, answer, comply), so that speakers who are sorry or cannot do something stay out.
 REFUSALS = re.compile(
@@ -92,14 +97,18 @@ def empty(text: str | None) -> bool:
     if text is None:
         return True
     t = M.unescape(text)[0]
-    bare = "".join(c for c in t if c.isprintable() and not c.isspace() and c not in "​‌‍﻿­")
-    return not bare or bare.lower() in PLACEHOLDERS or not any(c.isalnum() for c in M.speech(t))
+    # Only a few visible characters can be a placeholder.
+    bare = _INVISIBLE.sub("", t)
+    return not bare or len(bare) <= LONGEST_PLACEHOLDER and bare.lower() in PLACEHOLDERS or not _SAID.search(M.speech(t))
 
 
 def _tokens(text: str) -> list[str]:
     """Words; of scripts without spaces, their characters."""
+    said = M.speech(M.unescape(text)[0]).lower()
+    if not _DENSE.search(said):
+        return _WORD.findall(said)
     out = []
-    for w in _WORD.findall(M.speech(M.unescape(text)[0]).lower()):
+    for w in _WORD.findall(said):
         if _DENSE.search(w):
             for piece in re.findall(r"[฀-๿぀-ヿ㐀-鿿豈-﫿]|[^฀-๿぀-ヿ㐀-鿿豈-﫿]+", w):
                 out.append(piece)
@@ -108,8 +117,11 @@ def _tokens(text: str) -> list[str]:
     return out
 
 
+_DIGIT = re.compile(r"\d")
+
+
 def _is_code(w: str) -> bool:
-    return any(c.isdigit() for c in w)
+    return not w.isalpha() and _DIGIT.search(w) is not None
 
 
 def only_names(tokens: list[str]) -> bool:
@@ -169,7 +181,7 @@ def foreign_script(text: str, source: str | None, target: str | None) -> bool:
     if source not in SCRIPTS or target not in SCRIPTS:
         return False
     own = SCRIPTS[source] | SCRIPTS[target]
-    if own == {"latin"} and text.isascii():
+    if own == {"latin"} and not _DENSE.search(text):
         return False
     found = {k: len(rx.findall(text)) for k, rx in _LETTERS.items()}
     total = sum(found.values())
