@@ -76,25 +76,28 @@ def value_sentences(df: DataFrame, model: S.Model, keys: list[str], fields: list
 
 
 def run_styles(words: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """``run_id, _style``: :func:`sentences.stream_style` of the runs of more than one block, over the whole run.
+    """``run_id, _block, _style``: :func:`sentences.stream_style` of the whole run, for every block of a run of several.
 
-    Other runs are judged where they are decoded, so they cost one pass over their indices only.
+    Counts are added up before the shuffle, so no run is gathered. A word weighs as often as it was
+    delivered.
     """
-    known = words.where(F.col("run_id").isNotNull() & F.col("word_idx").isNotNull())
-    many = known.groupBy("run_id").agg(F.max("word_idx").alias("last")).where(F.col("last") >= block).select("run_id")
-    said = known.join(many, "run_id", "left_semi").where(F.trim("word") != "").groupBy("run_id", "word_idx").agg(F.min("word").alias("word"))
-    count = lambda rx: F.sum(F.length(F.regexp_replace("word", rx, "")))
-    marked = F.count_if(F.instr(F.lit(S.MARKED), F.substring("word", -1, 1)) > 0)
+    w = F.trim("word")
+    said = lambda c: F.when(w != "", c)
+    count = lambda rx: F.sum(said(F.length(F.regexp_replace("word", rx, ""))))
+    marked = F.count_if(said(F.instr(F.lit(S.MARKED), F.substring("word", -1, 1)) > 0))
     letters, dense = count(r"[^\p{L}\p{No}\p{Nl}]+"), count(f"[^{_DENSE}]+")
-    style = F.array(marked <= S.BARE_SHARE * F.count(F.lit(1)), (dense > 0) & (dense * 3 > letters - dense), F.bool_or(F.col("word").rlike("[\u0E00-\u0EFF]")))
-    return said.groupBy("run_id").agg(style.alias("_style"))
+    style = F.array(marked <= S.BARE_SHARE * F.count(said(F.lit(1))), (dense > 0) & (dense * 3 > letters - dense), F.bool_or(said(F.col("word").rlike("[\u0E00-\u0EFF]"))))
+    known = words.where(F.col("run_id").isNotNull() & F.col("word_idx").isNotNull())
+    runs = known.groupBy("run_id").agg(F.max("word_idx").alias("last"), style.alias("_style")).where((F.col("last") >= block) & F.col("_style")[2].isNotNull())
+    return runs.select("run_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / block).cast("int"))).alias("_block"), "_style")
 
 
-def by_run_blocks(words: DataFrame, columns: list[str], block: int = BLOCK_WORDS, halo: int = HALO_WORDS) -> DataFrame:
+def by_run_blocks(words: DataFrame, columns: list[str], block: int = BLOCK_WORDS, halo: int = HALO_WORDS, styles: DataFrame | None = None) -> DataFrame:
     """Words shuffled by run and block and sorted by index, with the neighbours of each block repeated in it.
 
-    Adds ``_block`` and ``_style``, which is set in runs of several blocks. Rows without a run or an
-    index have no place in a stream and are left out.
+    Adds ``_block`` and ``_style``. A block of a run of several begins with a row of index -1 that
+    holds its style (``styles``, by default of these words); it travels in the same shuffle. Rows
+    without a run or an index have no place in a stream and are left out.
     """
     i = F.col("word_idx")
     k = F.floor(i / F.lit(block)).cast("int")
@@ -102,7 +105,8 @@ def by_run_blocks(words: DataFrame, columns: list[str], block: int = BLOCK_WORDS
     blocks = F.when(inside < halo, F.array(k - 1, k)).when(inside >= block - halo, F.array(k, k + 1)).otherwise(F.array(k))
     rows = words.where(F.col("run_id").isNotNull() & i.isNotNull()).select("run_id", "word_idx", *columns, F.explode(blocks).alias("_block"))
     rows = rows.where(F.col("_block") >= F.lit(0)) if halo else rows
-    rows = rows.join(run_styles(words, block), "run_id", "left")
+    heads = (run_styles(words, block) if styles is None else styles).withColumn("word_idx", F.lit(-1))
+    rows = rows.withColumn("_style", F.lit(None).cast("array<boolean>")).unionByName(heads, allowMissingColumns=True)
     return partitioned(rows, "run_id", "_block").sortWithinPartitions("run_id", "_block", "word_idx")
 
 
@@ -133,13 +137,15 @@ class WordBlock:
     """One block of a run: words once each and in order; ``core`` tells which belong to the block itself."""
 
     def __init__(self, t: pa.Table, block: int):
+        self.run_id, number, style = (t.column(c)[0].as_py() for c in ("run_id", "_block", "_style"))
+        self.style = tuple(style) if style else None
+        if style:
+            t = t.slice(1)
         idx = t.column("word_idx").to_numpy()
         keep = np.ones(len(idx), dtype=bool)
         keep[1:] = idx[1:] != idx[:-1]
         if not keep.all():
             t, idx = t.filter(pa.array(keep)), idx[keep]
-        self.run_id = t.column("run_id")[0].as_py()
-        number = t.column("_block")[0].as_py()
         said = [w if w is not None else "" for w in t.column("word").to_pylist()]
         blank = [not w or w.isspace() for w in said]
         if any(blank):
@@ -147,8 +153,6 @@ class WordBlock:
             t, idx, said = t.filter(pa.array(some)), idx[some], [w for w, x in zip(said, blank) if not x]
         self.table, self.idx, self.words = t, idx, said
         self.core = idx // block == number
-        style = t.column("_style")[0].as_py() if len(t) else None
-        self.style = tuple(style) if style else None
 
     def seconds(self, column: str) -> np.ndarray:
         return self.table.column(column).to_numpy().astype(float)

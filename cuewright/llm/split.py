@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..tables import base_lang, delivered_once, finite, partitioned, table
 from . import sentences as S
-from .sentence_ops import BLOCK_WORDS, HALO_WORDS, WordBlock, by_run_blocks, each_group, fit_model
+from .sentence_ops import BLOCK_WORDS, HALO_WORDS, WordBlock, by_run_blocks, each_group, fit_model, run_styles
 
 #: Words in the rolling hash; one word in LANDMARK_WORDS is a landmark, so about one sentence end in three.
 HASH_WORDS = 4
@@ -109,7 +109,7 @@ def chunk(units: list[Unit], limit: float, overlap: float) -> list[tuple[int, in
 # -- DataFrame operators -------------------------------------------------------------------------------
 
 
-def timed_sentences(words: DataFrame, model: S.Model, long_s: float, block: int = BLOCK_WORDS, halo: int = HALO_WORDS) -> DataFrame:
+def timed_sentences(words: DataFrame, model: S.Model, long_s: float, block: int = BLOCK_WORDS, halo: int = HALO_WORDS, styles: DataFrame | None = None) -> DataFrame:
     """``run_id, first_idx, last_idx, start_s, end_s, to_start, to_end, p_*``: sentences of the word streams with their times.
 
     ``to_start`` and ``to_end`` tell whether a landmark in the sentence is nearest to its start or its
@@ -154,7 +154,7 @@ def timed_sentences(words: DataFrame, model: S.Model, long_s: float, block: int
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*rows), types)], names)
 
-    return by_run_blocks(words, ["start_s", "end_s", "word"], block, halo).mapInArrow(run, schema)
+    return by_run_blocks(words, ["start_s", "end_s", "word"], block, halo, styles).mapInArrow(run, schema)
 
 
 def split_items(items: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def _pieces(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "words", "run_id", "word_idx", "start_s", "end_s", "word")
     # Only runs with an oversized item need their words.
     needed = words.join(items.select("run_id").distinct(), "run_id", "left_semi")
-    return split_items(items, timed_sentences(needed, model, (shortest or 0.0) * 0.75))
+    return split_items(items, timed_sentences(needed, model, (shortest or 0.0) * 0.75, styles=run_styles(words)))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
