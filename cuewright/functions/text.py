@@ -79,6 +79,12 @@ def parse_clock(c: Column) -> Column:
     return F.when(c.rlike(rx), ((g(1) * 60 + g(2)) * 60 + g(3)) * 1000 + g(4))
 
 
+def strict_clock(c: Column) -> Column:
+    """As :func:`parse_clock`, but a time that is written otherwise is an error; null stays null."""
+    bad = F.raise_error(F.concat(F.lit("no subtitle time: "), c)).cast("bigint")
+    return F.when(c.isNull(), None).otherwise(F.coalesce(parse_clock(c), bad))
+
+
 def base_tag(c: Column) -> Column:
     return F.lower(F.trim(F.element_at(F.split(c, "-"), 1)))
 
@@ -120,19 +126,68 @@ def context_text(**parts: Column) -> Column:
 
 
 def embedded_json(c: Column) -> Column:
-    """The JSON in a reply: inside a fence if there is one, from the first bracket to the last."""
+    """The first JSON array or object in a reply, inside a fence if there is one; what follows it is left out.
+
+    Brackets inside JSON strings do not count. Null where no bracket is, or where the value never closes.
+    """
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = F.when(fenced != "", fenced).otherwise(c)
-    return F.nullif(F.regexp_extract(body, r"(?s)([\[{].*[\]}])", 1), F.lit(""))
+    body = F.regexp_extract(F.when(fenced != "", fenced).otherwise(c), r"(?s)([\[{].*)", 1)
+    parts = F.regexp_extract_all(body, F.lit(r'(?s)("(?:[^"\\]|\\.)*"|[\[\]{}]|[^"\[\]{}]+|")'), 1)
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done"))
+
+    def step(acc, p):
+        depth = acc["depth"] + F.when(p.isin("[", "{"), 1).when(p.isin("]", "}"), -1).otherwise(0)
+        return F.when(acc["done"], acc).otherwise(F.struct(depth.alias("depth"), (acc["size"] + F.length(p)).alias("size"), (depth == 0).alias("done")))
+
+    end = F.aggregate(parts, zero, step)
+    return F.when(end["done"], F.substring(body, F.lit(1), end["size"]))
 
 
 def filter_path(c: Column) -> Column:
-    """A path with the signs escaped that a filter graph gives a meaning."""
-    for sign in ("\\", ":", "'", "[", "]", ",", ";"):
+    """A path with the signs escaped that a filter graph gives a meaning: backslash, colon and single quote."""
+    for sign in ("\\", ":", "'"):
         c = F.replace(c, F.lit(sign), F.lit("\\" + sign))
     return c
 
 
+def burn_style(height: Column, font: Column) -> Column:
+    """Style of captions burned into a picture of a height; size and margin are rounded half to even."""
+    size = F.greatest(F.lit(18), F.bround(height * F.lit(0.042)).cast("int"))
+    margin = F.greatest(F.lit(20), F.bround(height * F.lit(0.04)).cast("int"))
+    return F.format_string("FontName=%s,FontSize=%d,BorderStyle=1,Outline=2,Shadow=1,MarginV=%d", font, size, margin)
+
+
+def keyword_union(first: Column, second: Column, most: int) -> Column:
+    """The terms of both lists in order, each once, at most ``most``; null lists are empty."""
+    none = F.array().cast("array<string>")
+    return F.slice(F.array_distinct(F.concat(F.coalesce(first, none), F.coalesce(second, none))), 1, most)
+
+
+def other_targets(files: Column, source: Column, target: Column) -> Column:
+    """Sorted tags of the ``transcript.<tag>.srt`` files, burned ones left out, that are neither the run's languages nor ``auto``."""
+    named = F.filter(files, lambda f: f.rlike(r"^transcript\..*\.srt$") & ~F.contains(f, F.lit(".burn.")))
+    tags = F.transform(named, lambda f: F.substring(f, F.lit(12), F.length(f) - 15))
+    return F.array_sort(F.array_except(tags, F.array(F.lower(source), F.lower(target), F.lit("auto"))))
+
+
+#: Fixed value: characters of a recognition context, about 8,000 tokens.
+CONTEXT_CHARS = 32_000
+
+
+def recognition_context(terms: Column, text: Column, most: int = CONTEXT_CHARS) -> Column:
+    """(terms, text) given to a recogniser, empty parts null; null if both are empty, an error if they are too long together."""
+    kept = F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: t != "")
+    said = F.coalesce(strip(text), F.lit(""))
+    size = F.length(F.array_join(kept, "")) + F.length(said)
+    built = F.struct(F.when(F.size(kept) > 0, kept).alias("terms"), F.nullif(said, F.lit("")).alias("text"))
+    return F.when(size > most, F.raise_error(F.lit(f"recognition context over {most} characters")).cast("struct<terms:array<string>,text:string>")).when(size > 0, built)
+
+
+def inline_part(data: Column, most: int) -> Column:
+    """Bytes as base64 for a request; null for what is larger than ``most`` bytes and has to be sent another way."""
+    return F.when(F.octet_length(data) <= most, F.base64(data))
+
+
 def sidecar_name(stem: Column, tag: Column) -> Column:
     """``<stem>.<tag>.srt``, where the stem loses the same tag at its end."""
     cut = F.when(F.endswith(stem, F.concat(F.lit("."), tag)), F.substring(stem, F.lit(1), F.length(stem) - F.length(tag) - 1)).otherwise(stem)

@@ -85,6 +85,14 @@ def shots(cuts: DataFrame, runs: DataFrame, least_ms: int) -> DataFrame:
     return rows.select("run_id", "shot_idx", "start_ms", F.coalesce(F.get("kept", F.col("shot_idx") + 1), "duration_ms").alias("end_ms"))
 
 
+def frame_times(windows: DataFrame, count: int) -> DataFrame:
+    """The windows with ``frame, at_ms``: ``count`` places evenly spaced from the start; a window of at most a millisecond has one."""
+    span = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))
+    n = F.when(span <= 1, F.lit(1)).otherwise(F.lit(max(1, count)))
+    rows = windows.withColumn("frame", F.explode(F.sequence(F.lit(0), n - 1)))
+    return rows.withColumn("at_ms", F.col("start_ms") + F.col("frame") * span / F.lit(max(1, count)))
+
+
 def window_layout(runs: DataFrame, window_ms: int, overlap_ms: int) -> DataFrame:
     """``run_id, win_idx, start_ms, end_ms``: recognition windows that overlap by ``overlap_ms``; one window if the run fits."""
     step = window_ms - overlap_ms

@@ -38,8 +38,11 @@ def escalations(attempts: DataFrame) -> DataFrame:
     an infrastructure failure on either side never does, nor a new input. Strikes count failures in
     a row with the same input.
     """
-    # A success in between clears the entry, so the failure after it starts afresh.
-    f = attempts.where("op in ('failure', 'ok')").withColumn("input_hash", F.when(F.col("op") == "failure", F.col("input_hash")))
+    # A success of the failed stage clears the entry, so the failure after it starts afresh; one of another stage leaves it.
+    f = attempts.where("op in ('failure', 'ok')")
+    entry = F.last(F.when(F.col("op") == "failure", F.coalesce("stage", F.lit(""))), True).over(Window.partitionBy("run_id", "seg_id").orderBy("seq"))
+    f = f.withColumn("entry", entry).where((F.col("op") == "failure") | F.col("stage").isNull() | (F.col("stage") == F.col("entry")))
+    f = f.withColumn("input_hash", F.when(F.col("op") == "failure", F.col("input_hash")))
     w = Window.partitionBy("run_id", "seg_id").orderBy("seq")
     same = F.coalesce(F.lag("input_hash").over(w) == F.col("input_hash"), F.lit(False))
     f = f.withColumn("same", same).withColumn("prev", F.lag("error_class").over(w)).withColumn("streak", F.sum((~same).cast("int")).over(w))
@@ -127,3 +130,8 @@ def reconcile_overflows(entries: DataFrame, overran: DataFrame) -> DataFrame:
     stale = entries.where("status = 'fit_overflow'").join(ids, keys, "left_anti").select(*keys)
     fresh = ids.join(entries.select(*keys), keys, "left_anti").withColumn("status", F.lit("fit_overflow"))
     return entries.select(*keys, "status").join(stale, keys, "left_anti").unionByName(fresh)
+
+
+def save_entries(entries: DataFrame, path: str) -> None:
+    """Entries by run: only the partitions of the runs at hand are replaced, each as a whole."""
+    entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)

@@ -58,6 +58,47 @@ def run_reports(runs: DataFrame, entries: DataFrame, tallies: DataFrame) -> Data
     return r.withColumn("exit_code", code)
 
 
+def full_reports(runs: DataFrame, entries: DataFrame, verdicts: DataFrame, current: DataFrame, overrides: DataFrame, timings: DataFrame, marks: DataFrame) -> DataFrame:
+    """One row per run: status, config, entries by status, verdict lists and tallies, degraded stages, overrides, timings, abort and exit code.
+
+    ``runs`` holds ``run_id, state, abort`` and a struct ``config``; ``marks`` holds ``run_id, stage,
+    reason`` of stages that fell short; ``current`` the segments that count (``run_id, seg_id``). A
+    run without current segments is reported with all of its entries. Lists are sorted.
+    """
+    known = current.select("run_id").distinct().withColumn("_known", F.lit(True))
+
+    def valid(df):
+        """The rows of current segments; all rows of runs of which none is known."""
+        marked = df.join(current.select("run_id", "seg_id").distinct().withColumn("_now", F.lit(True)), ["run_id", "seg_id"], "left").join(known, "run_id", "left")
+        return marked.where(F.col("_now").isNotNull() | F.col("_known").isNull()).drop("_now", "_known")
+
+    def listed(df, when, what, name):
+        return df.groupBy("run_id").agg(F.array_sort(F.array_compact(F.collect_list(F.when(when, what)))).alias(name))
+
+    e, v = valid(entries), valid(verdicts)
+    status = F.col("status")
+    lists = [listed(e, status == s, F.col("seg_id"), name) for s, name in (("skipped", "skipped"), ("accepted_skip", "accepted_skips"), ("length_overflow", "length_overflows"), ("fit_overflow", "fit_overflows"))]
+    lists += [listed(v, F.col("decision") == "replace", F.col("seg_id"), "replacements"), listed(v, F.col("low_confidence"), F.col("seg_id"), "low_confidence")]
+    o = override_status(overrides, current).join(known, "run_id", "left").withColumn("applied", F.col("applied") | F.col("_known").isNull())
+    lists += [listed(o, F.col("applied"), F.col("seg_id"), "overrides_applied"), listed(o, ~F.col("applied"), F.col("seg_id"), "overrides_unmatched")]
+    lists += [listed(marks, F.lit(True), F.struct("stage", "reason"), "degraded"), listed(stage_seconds(timings), F.lit(True), F.struct("stage", "seconds"), "timings")]
+    out = run_reports(runs, e, verdict_tallies(v)).join(winners(v), "run_id", "left")
+    for x in lists:
+        out = out.join(x, "run_id", "left")
+    empty = {x.columns[1]: F.array().cast(x.schema[1].dataType) for x in lists}
+    return out.withColumns({n: F.coalesce(n, none) for n, none in empty.items()}).withColumn("by_engine", F.coalesce("by_engine", F.create_map().cast("map<string,bigint>")))
+
+
+def detection_marks(detected: DataFrame, stage: str = "asr") -> DataFrame:
+    """``run_id, stage, reason``: a mark of every run whose language is mixed (``run_id, lang, mixed``); a run that is not loses its mark by having no row."""
+    return detected.where("mixed").select("run_id", F.lit(stage).alias("stage"), F.concat(F.lit("detected "), F.coalesce("lang", F.lit("unknown"))).alias("reason"))
+
+
+def changed_runs(now: DataFrame, before: DataFrame) -> DataFrame:
+    """``run_id`` of the runs whose key (``run_id, fingerprint``) is not the one before; what is derived from them is made anew."""
+    return now.join(before.select("run_id", "fingerprint").distinct(), ["run_id", "fingerprint"], "left_anti").select("run_id").distinct()
+
+
 def stage_seconds(timings: DataFrame) -> DataFrame:
     """``run_id, stage, seconds`` summed over repeated stages."""
     return timings.groupBy("run_id", "stage").agg(F.round(F.sum("elapsed_s"), 2).alias("seconds"))

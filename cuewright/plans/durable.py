@@ -248,6 +248,14 @@ _SEGS = "ids AS (SELECT run_id, idx, printf('seg_%04d', idx) AS seg_id FROM s)"
 _OVR = "o AS (SELECT run_id, unnest(['seg_0001', 'seg_3', 'seg_9999', 'garbage']) AS seg_id, unnest(['text ' || run_id, 'unpadded', 'late', 'bad']) AS text FROM runs WHERE run_id % 2 = 0)"
 _FADE = "SELECT vec_id, CAST(i AS INT) AS i, round(greatest(-1.0, least(1.0, v)), 6) + 0.0 AS v FROM (SELECT vec_id, i, (a + b) / 2 * least(1.0, i / 8.0) * least(1.0, (63 - i) / 8.0) AS v FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS a, unnest(list_reverse(embedding)) AS b FROM embeddings))"
 ORACLES = {
+    # One attempt after the other of each segment: what the entry before it was decides.
+    "escalations": "WITH RECURSIVE " + _ATT + """,
+o AS (SELECT *, row_number() OVER (PARTITION BY run_id, seg_id ORDER BY seq) AS k FROM att WHERE op IN ('failure', 'ok')),
+r AS (SELECT run_id, seg_id, k, seq, op, cls, h, op = 'failure' AS held, CASE WHEN op = 'failure' THEN 'skipped' END AS status, CASE WHEN op = 'failure' THEN 1 ELSE 0 END AS strikes FROM o WHERE k = 1 UNION ALL
+SELECT o.run_id, o.seg_id, o.k, o.seq, o.op, o.cls, o.h, o.op = 'failure',
+CASE WHEN o.op = 'failure' THEN CASE WHEN r.held AND r.h = o.h AND r.status = 'skipped' AND r.cls IN ('content', 'qa') AND o.cls IN ('content', 'qa') THEN 'accepted_skip' ELSE 'skipped' END END,
+CASE WHEN o.op = 'failure' THEN CASE WHEN r.held AND r.h = o.h THEN r.strikes + 1 ELSE 1 END ELSE 0 END FROM r JOIN o ON o.run_id = r.run_id AND o.seg_id = r.seg_id AND o.k = r.k + 1)
+SELECT run_id, seq, status, strikes FROM r WHERE op = 'failure'""",
     "window_strikes": B.sql(_ATT, "p AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS pos FROM att)",
         "SELECT a.run_id, a.seq, count(*) AS strikes, count(*) >= 5 AS over FROM p a JOIN p b ON a.run_id = b.run_id AND a.stage = b.stage AND a.cls = b.cls AND a.code = b.code AND b.op IN ('failure', 'strike') AND b.pos BETWEEN a.pos - 19 AND a.pos WHERE a.op IN ('failure', 'strike') GROUP BY a.run_id, a.seq"),
     "segments_to_attempt": B.sql(_ATT, _ENT, "SELECT DISTINCT run_id, seg_id, h AS input_hash FROM att WHERE NOT EXISTS (SELECT 1 FROM ent WHERE ent.status = 'accepted_skip' AND ent.run_id = att.run_id AND ent.seg_id = att.seg_id AND ent.input_hash = att.h)"),

@@ -75,4 +75,23 @@ def merged_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (reading_comparison, verdicts, vote_regions, weight_sweep, suspect_readings, pause_segments, word_windows, sentence_segments, merged_windows)}
-ORACLES: dict[str, str] = {}
+_SPANS = r"""sp AS (SELECT run_id, span, list(word_idx ORDER BY word_idx) AS wi, list(start_ms ORDER BY word_idx) AS st, list(end_ms ORDER BY word_idx) AS en FROM (
+SELECT *, CAST(coalesce(sum(CASE WHEN regexp_matches(word, '[.!?…]["'')\]}»”’]*$') THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS span FROM w)
+WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL GROUP BY run_id, span)"""
+ORACLES: dict[str, str] = {
+    # A window is a step of the recursion: the first of the largest silences among the last fifth of its words.
+    "word_windows": "WITH RECURSIVE " + B.W + ", " + _SPANS + """,
+r AS (SELECT run_id, span, 0 AS part, 0 AS a, len(wi) AS n FROM sp UNION ALL
+SELECT run_id, span, part + 1, a + 16 + CAST(list_position(g, list_max(g)) AS INT), n FROM (SELECT r.*, list_transform(range(r.a + 17, r.a + 21), lambda k: sp.st[k + 1] - sp.en[k]) AS g FROM r JOIN sp USING (run_id, span) WHERE r.a + 20 < r.n)),
+e AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY run_id, span ORDER BY part), n) AS b FROM r)
+SELECT run_id, span, part, wi[a + 1] AS first_idx, wi[b] AS last_idx, st[a + 1] AS start_ms, en[b] AS end_ms FROM e JOIN sp USING (run_id, span)""",
+    # Halves of halves: the pause nearest the middle, else the largest gap.
+    "pause_segments": "WITH RECURSIVE " + B.W + ", " + _SPANS + """,
+r AS (SELECT run_id, span, 1 AS a, len(wi) AS b FROM sp UNION ALL
+SELECT run_id, span, unnest([a, i + 1]) AS a, unnest([i, b]) AS b FROM (SELECT r.run_id, r.span, r.a, r.b, CAST(list_min(list_transform(range(r.a, r.b), lambda k: {
+'x': CASE WHEN sp.st[k + 1] - sp.en[k] >= 300 THEN 0 ELSE 1 END, 'y': CASE WHEN sp.st[k + 1] - sp.en[k] >= 300 THEN abs(sp.en[k] + sp.st[k + 1] - sp.st[r.a] - sp.en[r.b]) ELSE sp.en[k] - sp.st[k + 1] END,
+'z': CASE WHEN sp.st[k + 1] - sp.en[k] >= 300 THEN 0 ELSE abs(sp.en[k] + sp.st[k + 1] - sp.st[r.a] - sp.en[r.b]) END, 'i': k})).i AS BIGINT) AS i
+FROM r JOIN sp USING (run_id, span) WHERE r.a < r.b AND sp.en[r.b] - sp.st[r.a] > 6000)),
+l AS (SELECT r.* FROM r JOIN sp USING (run_id, span) WHERE r.a = r.b OR sp.en[r.b] - sp.st[r.a] <= 6000)
+SELECT run_id, span, CAST(row_number() OVER (PARTITION BY run_id, span ORDER BY a) - 1 AS INT) AS part, wi[a] AS first_idx, wi[b] AS last_idx, st[a] AS start_ms, en[b] AS end_ms FROM l JOIN sp USING (run_id, span)""",
+}

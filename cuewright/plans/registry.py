@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import durable, packing, problems, readings, spans, texts
+from . import artifacts, durable, packing, problems, readings, spans, texts
 
-_MODULES = (problems, spans, texts, packing, readings, durable)
+_MODULES = (problems, spans, texts, packing, readings, durable, artifacts)
 
 
 def queries() -> dict:

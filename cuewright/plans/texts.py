@@ -112,10 +112,9 @@ def retry_errors(spark: SparkSession, d: str) -> DataFrame:
 
 def line_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     """Content key of a line: text and length budget."""
-    s = B.timed(B.segments(spark, d, "text_target")).where(F.col("text_target").isNotNull() & ~F.contains("text_target", F.lit("\\")))
+    s = B.timed(B.segments(spark, d, "text_target")).where(F.col("text_target").isNotNull())
     budget = F.greatest(F.lit(3), F.floor((F.col("end_ms") - F.col("start_ms")) * F.lit(0.015))).cast("bigint")
-    s = s.withColumn("plain", F.regexp_replace("text_target", r"[^\p{L}\p{N} .,!?]", " "))
-    return s.select("run_id", "idx", T.fingerprint(budget=budget, text=F.col("plain")).alias("fingerprint"))
+    return s.select("run_id", "idx", T.fingerprint(budget=budget, text=F.col("text_target")).alias("fingerprint"))
 
 
 def parsed_replies(spark: SparkSession, d: str) -> DataFrame:
@@ -158,6 +157,6 @@ greatest(1, length({_STRIP.format('text_target')})) AS n_chars FROM s WHERE text
 CASE WHEN event_id % 5 = 0 THEN 'ReadTimeout' WHEN event_id % 5 = 1 THEN 'ConnectionError' ELSE 'ValueError' END AS name, event_id % 2 = 0 AS lim FROM events WHERE value IS NOT NULL)
 SELECT event_id, CASE WHEN status IS NOT NULL THEN CASE WHEN status >= 500 OR (status = 429 AND lim) THEN 'infra' ELSE 'content' END WHEN name IN ('ReadTimeout', 'ConnectionError') THEN 'infra' ELSE 'content' END AS error_class,
 CASE WHEN status IS NOT NULL THEN 'http_' || status WHEN name = 'ReadTimeout' THEN 'timeout' WHEN name = 'ConnectionError' THEN 'connection' ELSE name END AS error_code, least(30.0, pow(2.0, event_id % 7)) AS backoff_s FROM e""",
-    "line_fingerprints": B.sql(B.S, r"""SELECT run_id, idx, sha256('{"budget":' || CAST(greatest(3, floor((end_ms - start_ms) * 0.015)) AS BIGINT) || ',"text":"' || regexp_replace(text_target, '[^\p{L}\p{N} .,!?]', ' ', 'g') || '"}') AS fingerprint FROM s WHERE end_ms > start_ms AND text_target IS NOT NULL AND NOT contains(text_target, '\')"""),
+    "line_fingerprints": B.sql(B.S, """SELECT run_id, idx, sha256('{"budget":' || CAST(greatest(3, floor((end_ms - start_ms) * 0.015)) AS BIGINT) || ',"text":' || CAST(to_json(text_target) AS VARCHAR) || '}') AS fingerprint FROM s WHERE end_ms > start_ms AND text_target IS NOT NULL"""),
     "parsed_replies": "SELECT event_id, 2 AS n_voices, event_type AS voice_a, CAST(user_id AS VARCHAR) AS voice_b, 'A=' || event_type || '|broken|=x|B= ' || user_id || '|C=' AS parts, event_type || '|CI/CD|API' AS keywords, true AS json_found, 'Transcribe. Keywords: ' || event_type || ', CI/CD' AS prompt, true AS later_kept FROM events WHERE props IS NOT NULL",
 }

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.intervals import boundary_curve
+from ..operators.packing import source_cues, target_cues
 
 #: Sidecar endings in order of preference.
 SIDECARS = (".en.srt", ".en.vtt", ".srt", ".vtt")
@@ -54,6 +56,16 @@ def render_cues(cues: DataFrame, key: str, order: str, newline: str = "\n") -> D
     return blocks.groupBy(key).agg(F.concat(F.concat_ws(newline * 2, ordered), F.lit(newline)).alias("srt"))
 
 
+def wrapped_srt(words: DataFrame, segments: DataFrame, side: str, max_chars: int, max_ms: int, bounds: DataFrame | None = None) -> DataFrame:
+    """``run_id, srt``: the source side in cues at word times, or the target side tiled over its segments along ``bounds``."""
+    if side == "source":
+        cues = source_cues(words, segments, max_chars, max_ms)
+    else:
+        cues = target_cues(segments, boundary_curve(words, segments) if bounds is None else bounds, max_chars, max_ms)
+    ms = lambda c: F.bround(c).cast("bigint").alias(c)
+    return render_cues(cues.select("run_id", F.struct("idx", "cue_no").alias("place"), ms("start_ms"), ms("end_ms"), "text"), "run_id", "place")
+
+
 def write_srt(rendered: DataFrame, key: str, path: str) -> None:
     """One folder per key with its text; the commit protocol of the file sink makes each write atomic."""
     rendered.select(key, F.col("srt").alias("value")).write.mode("overwrite").partitionBy(key).text(path)
