@@ -16,6 +16,7 @@ from . import sentences as S
 #: on either side, far more than a sentence, so that a cut does not depend on where blocks meet.
 BLOCK_WORDS = 8192
 HALO_WORDS = 512
+_NO_LETTERS = "".join(map(chr, range(33, 65))) + "[\\]^_`{|}~" + "".join(sorted(set("…。！？｡”’»」』】）〉》“«„「『、，；：‘¿¡–—♪")))
 _DENSE = "\u0E00-\u0EFF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF"
 
 
@@ -76,19 +77,23 @@ def value_sentences(df: DataFrame, model: S.Model, keys: list[str], fields: list
 
 
 def run_styles(words: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """``run_id, _block, _style``: :func:`sentences.stream_style` of the whole run, for every block of a run of several.
+    """``run_id, _block, _style``: :func:`sentences.stream_style` of the whole run as the bits of a number, for every block of a run of several.
 
     Counts are added up before the shuffle, so no run is gathered. A word weighs as often as it was
     delivered.
     """
-    w = F.trim("word")
-    said = lambda c: F.when(w != "", c)
-    count = lambda rx: F.sum(said(F.length(F.regexp_replace("word", rx, ""))))
+    w = F.col("word")
+    said = lambda c: F.when(F.trim(w) != "", c)
     marked = F.count_if(said(F.instr(F.lit(S.MARKED), F.substring("word", -1, 1)) > 0))
-    letters, dense = count(r"[^\p{L}\p{No}\p{Nl}]+"), count(f"[^{_DENSE}]+")
-    style = F.array(marked <= S.BARE_SHARE * F.count(said(F.lit(1))), (dense > 0) & (dense * 3 > letters - dense), F.bool_or(said(F.col("word").rlike("[\u0E00-\u0EFF]"))))
+    # Regular expressions are run on words of such scripts only; those are never ASCII.
+    unspaced = (F.octet_length(w) > F.length(w)) & w.rlike(f"[{_DENSE}]")
+    dense = F.sum(F.when(unspaced, F.length(F.regexp_replace(w, f"[^{_DENSE}]+", ""))).otherwise(0))
+    letters = F.sum(F.length(F.translate(w, _NO_LETTERS, "")))
+    spaced = F.bool_or(said(F.coalesce(unspaced & w.rlike("[\u0E00-\u0EFF]"), F.lit(False))))
+    bits = (marked <= S.BARE_SHARE * F.count(said(F.lit(1))), (dense > 0) & (dense * 3 > letters - dense), spaced)
+    style = sum((F.when(b, 2**k).otherwise(0) for k, b in enumerate(bits)), F.when(spaced.isNotNull(), 0))
     known = words.where(F.col("run_id").isNotNull() & F.col("word_idx").isNotNull())
-    runs = known.groupBy("run_id").agg(F.max("word_idx").alias("last"), style.alias("_style")).where((F.col("last") >= block) & F.col("_style")[2].isNotNull())
+    runs = known.groupBy("run_id").agg(F.max("word_idx").alias("last"), style.alias("_style")).where((F.col("last") >= block) & F.col("_style").isNotNull())
     return runs.select("run_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / block).cast("int"))).alias("_block"), "_style")
 
 
@@ -106,7 +111,7 @@ def by_run_blocks(words: DataFrame, columns: list[str], block: int = BLOCK_WORDS
     rows = words.where(F.col("run_id").isNotNull() & i.isNotNull()).select("run_id", "word_idx", *columns, F.explode(blocks).alias("_block"))
     rows = rows.where(F.col("_block") >= F.lit(0)) if halo else rows
     heads = (run_styles(words, block) if styles is None else styles).withColumn("word_idx", F.lit(-1))
-    rows = rows.withColumn("_style", F.lit(None).cast("array<boolean>")).unionByName(heads, allowMissingColumns=True)
+    rows = rows.withColumn("_style", F.lit(None).cast("int")).unionByName(heads, allowMissingColumns=True)
     return partitioned(rows, "run_id", "_block").sortWithinPartitions("run_id", "_block", "word_idx")
 
 
@@ -138,8 +143,8 @@ class WordBlock:
 
     def __init__(self, t: pa.Table, block: int):
         self.run_id, number, style = (t.column(c)[0].as_py() for c in ("run_id", "_block", "_style"))
-        self.style = tuple(style) if style else None
-        if style:
+        self.style = None if style is None else tuple(bool(style >> k & 1) for k in range(3))
+        if style is not None:
             t = t.slice(1)
         idx = t.column("word_idx").to_numpy()
         keep = np.ones(len(idx), dtype=bool)
