@@ -80,11 +80,13 @@ def test_json_and_names(spark):
 
 
 def test_line_fingerprints_of_percent_and_backslash(spark, tmp_path):
-    lines = ["rose by 5%", "50% more", "a\\b", "plain", "%", None]
+    lines = ["rose by 5%", "50% more", "a\\b", "plain", "%", None, 'say "no", / ok', "two\nlines\tand \x01", "für – 日程"]
     rows = [(1, i, float(i), i + 1.0, None, t, None, False, None) for i, t in enumerate(lines)]
     path = str(tmp_path / "segments.parquet")
     spark.createDataFrame(rows, "run_id bigint, idx int, start_s double, end_s double, text_src string, text_target string, speaker string, skipped boolean, feed string").write.parquet(path)
     got = sorted_rows(texts.line_fingerprints(spark, str(tmp_path)))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW segments AS SELECT * FROM '{path}/*.parquet'")
-    assert got == sorted(con.execute(texts.ORACLES["line_fingerprints"]).fetchall(), key=repr) and [r[1] for r in got] == [0, 1, 3, 4]
+    assert got == sorted(con.execute(texts.ORACLES["line_fingerprints"]).fetchall(), key=repr) and [r[1] for r in got] == [0, 1, 2, 3, 4, 6, 7, 8]
+    # Every mark counts: lines that differ only in them have keys of their own.
+    assert len({r[2] for r in got}) == 8
