@@ -47,25 +47,29 @@ UI = re.compile(
     r"</?[a-zA-Z][^<>\n]{0,40}>|\{\{[^{}\n]{0,30}\}\}|&(?:nbsp|amp|lt|gt|quot);|\b\d{1,2}:\d{2} / \d{1,2}:\d{2}\b|\[x\]|>>|<<|!!!"
     rf"|\b(?:{'|'.join(_UI_FORMS.get(w, w) for w in UI_WORDS)})\b"
 )
-# Every match of it holds one of these.
-_UI_HINTS = ("<", "{{", "&", " / ", "[x]", ">>", "!!!", *UI_WORDS)
+# Every match of it holds one of these, here by their first characters, which most texts lack.
+_UI_HINTS = {c: [h for h in hints if h[0] == c] for hints in [("<", "{{", "&", " / ", "[x]", ">>", "!!!", *UI_WORDS)] for c in dict.fromkeys(h[0] for h in hints)}
 #: More characters than a match of UI has.
 CONTEXT = 64
 _SPACE_WORD = re.compile(r"\S+")
 _MARKER = re.compile(r"\s*(?:[•·●▪◦‣*+–—-]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX✓]?\]|☐|☑|[①-⑳]|\d{1,4}[、．])\s*(?=\S)")
-_SENTENCE_END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]|(?<=[฀-๿])[…](?=\s|$)")
-_ENDS = re.compile(r"[.!?…。！？][\"'”’“»)\]」』）]*\s*$")
+# Patterns that open with one set of characters are searched much faster than those that open with a choice or a repetition.
+_SENTENCE_END = re.compile(r"[.!?…。！？](?:(?<=[。！？])|[.!?…]*[\"'”’»)\]]*(?=\s|$))")
+_ENDERS, _END_CLOSERS = frozenset(".!?…。！？"), "\"'”’“»)]」』）"
 _GAPS = re.compile(r"\S(?: {2,}|\t)\S")
 _TIGHT = re.compile(r"[,;|](?=\S)|[,;|]$")
-_INLINE = re.compile(r"[;,、；，|/•·]\s*")
+_PAIRED = re.compile(r" [-–—=:→] |：| \(\S{1,24}\)$|（[^（）]{1,16}）$")
+_INLINE = ";,、；，|/•·"
 _DENSE = re.compile(r"[฀-๿぀-ヿ㐀-鿿豈-﫿]")
-_DAMAGE = re.compile(r"[ÃÂÐÑ](?=[^a-zA-Z\s]|[ÃÂ])")
 _MASH = re.compile(r"[a-z][\[\];'\\/<>=][a-z;\[\]]|[\[\];]{2}|(?<!\S)[;'\]][a-z]|[a-z][;\[](?!\S)")
-_BROKEN = re.compile(r"[,;~|#§^¤:!?\d]+(?=[^\W\d_])")
 _FIRST = re.compile(r"[^\n]*?(?:[.!?…]+[\"'”’»)\]]*(?=\s)|[。！？][”」』]?)\s*|[^\n]*\n\s*")
 
 # Character classes: 0 symbol, 1 letter, 2 digit, 3 space, 4 letter of an unspaced script, 5 a frequent one, 6 ordinary mark, 7 trace of damage.
+# Above these three bits, what counts as a pair of neighbours: a mark or digit (8) before a letter (16), a trace of wrong decoding (32) before anything but a space or a Latin letter (64).
+_BROKEN, _DAMAGE = 8, 32
+_PAIR_BITS = {_BROKEN: r"[,;~|#§^¤:!?\d]+", 2 * _BROKEN: r"[^\W\d_]+", _DAMAGE: r"[ÃÂÐÑ]+", 2 * _DAMAGE: r"[^a-zA-Z\s]+"}
 _CLASSES: list[np.ndarray] = []
+_FIRST_CLASSES: list[bytes] = []
 
 
 def _classes() -> np.ndarray:
@@ -88,6 +92,11 @@ def _classes() -> np.ndarray:
         for c in "�¤§¦¬±¶~^#":
             t[ord(c)] = 7
         t[0x00:0x09] = t[0x0B:0x0D] = t[0x0E:0x20] = t[0x7F:0xA0] = 7
+        every = np.arange(0x110000, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        for bit, pattern in _PAIR_BITS.items():
+            for m in re.finditer(pattern, every):
+                t[m.start() : m.end()] |= bit
+        _FIRST_CLASSES.append(t[:256].tobytes())
         _CLASSES.append(t)
     return _CLASSES[0]
 
@@ -97,48 +106,112 @@ NAMES = [
     "entry_lines", "marked_lines", "table_lines", "ui", "blob_chars", "pairs", "dense", "dense_common", "brackets", "mash", "broken", "strong", *(f"short{k}" for k in range(10)),
 ]
 AT = {n: i for i, n in enumerate(NAMES)}
+_LINES, _ENDS, _ENDED_LINES, _ENTRY_LINES, _MARKED_LINES, _TABLE_LINES, _SHORT0 = (AT[n] for n in ("lines", "ends", "ended_lines", "entry_lines", "marked_lines", "table_lines", "short0"))
 
 
-def _entry(line: str, words: list[str], dense: int) -> tuple[bool, bool, str]:
-    """Whether a line looks like an entry of a list, whether it opens with a list marker, and the line without it."""
+def _entry(line: str, words: list[str], dense: int) -> tuple[bool, bool, str, bool]:
+    """Whether a line looks like an entry of a list, whether it opens with a list marker, the line without it, and whether that closes like a sentence."""
     m = _MARKER.match(line)
     core = line[m.end() :] if m else line
-    n = len(core.split()) if not dense else 0
-    if _ENDS.search(core) and (n > 3 or dense > 12):
-        return False, m is not None, core
-    paired = bool(re.search(r" [-–—=:→] |：| \(\S{1,24}\)$|（[^（）]{1,16}）$", core))
+    n = 0 if dense else len(core.split()) if m else len(words)
+    ended = _ended(core)
+    if ended and (n > 3 or dense > 12):
+        return False, m is not None, core, ended
     short = n <= 4 if not dense else dense <= 12
     limit = n <= 12 if not dense else dense <= 40
-    return (short or paired and limit or m is not None and (n <= 6 or dense and dense <= 16)), m is not None, core
+    return (short or limit and _PAIRED.search(core) is not None or m is not None and (n <= 6 or 0 < dense <= 16)), m is not None, core, ended
 
 
-def _table(line: str) -> bool:
-    if line.count("\t") >= 2 or line.count("|") >= 2:
-        return True
-    gaps = len(_GAPS.findall(line))
-    # Columns kept apart by spaces hold a few words each; loose spacing in prose does not.
-    if gaps >= 2 and len(line.split()) <= 3 * (gaps + 1) and not _SENTENCE_END.search(line):
+def _ended(line: str) -> bool:
+    """Whether a line closes with the mark of a sentence, quotes and brackets after it aside."""
+    return line.rstrip().rstrip(_END_CLOSERS)[-1:] in _ENDERS
+
+
+def _table(line: str, n_words: int) -> bool:
+    tabs, bars = line.count("\t"), line.count("|")
+    if tabs >= 2 or bars >= 2:
         return True
+    if tabs or "  " in line:
+        gaps = len(_GAPS.findall(line))
+        # Columns kept apart by spaces hold a few words each; loose spacing in prose does not.
+        if gaps >= 2 and n_words <= 3 * (gaps + 1) and not _SENTENCE_END.search(line):
+            return True
+    if bars + line.count(",") + line.count(";") < 3:
+        return False
     tight = len(_TIGHT.findall(line))
     return tight >= 3 and tight >= 0.25 * (line.count(" ") + 1)
 
 
 _TRIM = ".,;:!?'\"()“”«»…"
-_WORD_HASH: dict[str, int] = {}
 
 
-def _pairs(items: list[str]) -> np.ndarray:
-    """32-bit hashes of neighbouring items."""
-    if len(_WORD_HASH) > 200_000:
-        _WORD_HASH.clear()
-    h = np.empty(len(items), dtype=np.uint64)
-    for i, w in enumerate(items):
-        x = _WORD_HASH.get(w)
-        if x is None:
-            x = _WORD_HASH[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
-        h[i] = x
-    with np.errstate(over="ignore"):
-        return (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
+def _hash(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+class _Tokens(dict):
+    """Of each token in lower case: the hash of its word, and above these 32 bits whether it is a function word.
+
+    Worked out once; forgotten where there are too many, and never kept for a very long one.
+    """
+
+    def __missing__(self, token: str) -> int:
+        w = token.strip(_TRIM)
+        # d'accord, l'analyse: the article counts
+        x = _hash(w) | (w in COMMON_WORDS or "'" in w and w[: w.index("'") + 1] in COMMON_WORDS) << 32
+        if len(token) <= 64:
+            if len(self) > 200_000:
+                self.clear()
+            self[token] = x
+        return x
+
+
+_TOKENS = _Tokens()
+
+
+def _crc_steps() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, c >> 1 ^ np.uint32(0xEDB88320), c >> 1)
+    return c
+
+
+_CRC_STEPS = _crc_steps()
+#: The bits of the first byte by the number of bytes of a character in UTF-8.
+_LEAD = np.array([0, 0, 0xC0, 0xE0, 0xF0], dtype=np.uint32)
+
+
+def _crc_feed(crc: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The running CRC of each place after one more character there."""
+    length = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    for k in range(int(length.max(initial=0))):
+        byte = codes >> (6 * np.maximum(length - 1 - k, 0)).astype(np.uint32)
+        byte = byte & 0x3F | 0x80 if k else byte | _LEAD[length]
+        crc = np.where(length > k, _CRC_STEPS[(crc ^ byte) & 0xFF] ^ crc >> 8, crc)
+    return crc
+
+
+def _two_characters(text: str) -> np.ndarray:
+    """The hash of every two neighbouring characters, as :func:`_hash` gives it."""
+    codes = _codes(text)
+    start = np.full(max(0, len(codes) - 1), 0xFFFFFFFF, dtype=np.uint32)
+    return (_crc_feed(_crc_feed(start, codes[:-1]), codes[1:]) ^ np.uint32(0xFFFFFFFF)).astype(np.uint64)
+
+
+_LEFT, _RIGHT, _HALF, _LOW_HALF = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 32, 0xFFFFFFFF], dtype=np.uint64)
+
+
+def _pairs(h: np.ndarray) -> np.ndarray:
+    """32-bit hashes of neighbours among hashed words."""
+    return (h[:-1] * _LEFT + h[1:] * _RIGHT) >> _HALF
+
+
+def _least(h: np.ndarray) -> list[int]:
+    """The smallest different values, SKETCH at most."""
+    h = np.sort(h.astype(np.uint32))
+    new = np.ones(len(h), dtype=bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new][:SKETCH].tolist()
 
 
 def _edge_words(text: str, unspaced: bool) -> tuple[str, str]:
@@ -150,8 +223,22 @@ def _edge_words(text: str, unspaced: bool) -> tuple[str, str]:
     return (trim(head[0]), trim(tail[-1])) if head and tail else ("", "")
 
 
-def _kinds(text: str) -> np.ndarray:
-    return np.bincount(_classes()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)], minlength=8)
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _marked(text: str) -> np.ndarray:
+    """Class and pair bits of each character."""
+    table = _classes()
+    try:
+        return np.frombuffer(text.encode("latin-1").translate(_FIRST_CLASSES[0]), dtype=np.uint8)
+    except UnicodeEncodeError:
+        return table[_codes(text)]
+
+
+def _kinds(marked: np.ndarray) -> np.ndarray:
+    """How many characters are of each class."""
+    return np.bincount(marked & 7, minlength=8)
 
 
 def _unspaced(kinds: np.ndarray) -> bool:
@@ -159,54 +246,58 @@ def _unspaced(kinds: np.ndarray) -> bool:
     return dense * 3 > int(kinds[1]) + dense
 
 
-def _count_line(v: np.ndarray, line: str, dense: bool) -> None:
-    if not line.strip():
-        return
+def _count_line(v: list[int], line: str, dense: bool) -> None:
     words = line.split()
+    if not words:
+        return
     d = len(_DENSE.findall(line)) if dense else 0
     d = d if d * 3 > len(line) else 0
-    v[AT["lines"]] += 1
-    entry, marked, core = _entry(line, words, d)
-    v[AT["ends"]] += len(_SENTENCE_END.findall(core))
-    v[AT["ended_lines"]] += bool(_ENDS.search(line))
-    v[AT["entry_lines"]] += entry
-    v[AT["marked_lines"]] += marked
-    v[AT["table_lines"]] += _table(line)
-    v[AT["short0"] + min(9, len(words) if not d else d // 3)] += 1
+    entry, marked, core, ended = _entry(line, words, d)
+    v[_LINES] += 1
+    v[_ENDS] += len(_SENTENCE_END.findall(core))
+    v[_ENDED_LINES] += _ended(line) if marked else ended
+    v[_ENTRY_LINES] += entry
+    v[_MARKED_LINES] += marked
+    v[_TABLE_LINES] += _table(line, len(words))
+    v[_SHORT0 + min(9, len(words) if not d else d // 3)] += 1
 
 
 def measure(text: str, pairs: set[int] | None = None, opened: bool = False, left_open: bool = False, unspaced: bool | None = None, around: tuple[str, str] | None = None, mash: bool = True) -> np.ndarray:
     """The count vector of a piece of text; hashes of its word pairs go into ``pairs``.
 
     ``around`` holds the CONTEXT characters before and after a piece; what is counted are the matches
-    that begin in it. ``mash`` may be left out for a text without brackets, see :func:`outcome`.
+    that begin in it. ``mash`` may be left out where :func:`_may_mash` says so.
 
     The first line of a piece that starts inside a line (``opened``) and the last of one that ends
     inside a line (``left_open``) are not counted as lines here; :func:`cut_lines` does. ``unspaced``
     is whether the whole text counts as a script without spaces, by default judged by ``text``.
     """
-    v = np.zeros(len(NAMES), dtype=np.int64)
+    v = [0] * len(NAMES)
     n = len(text)
     if not n:
-        return v
-    kinds = _kinds(text)
-    dense = int(kinds[4] + kinds[5])
-    letters = int(kinds[1]) + dense
-    tokens = text.split()
-    v[AT["chars"]], v[AT["letters"]], v[AT["dense"]] = n, letters, dense
-    v[AT["digits"]], v[AT["spaces"]], v[AT["dense_common"]] = kinds[2], kinds[3], kinds[5]
-    v[AT["symbols"]] = kinds[0] + kinds[7]
-    v[AT["weird"]] = kinds[7] + len(_DAMAGE.findall(text))
+        return np.array(v, dtype=np.int64)
+    marked = _marked(text)
+    neighbours = marked[:-1] & (marked[1:] >> 1)
+    kinds = _kinds(marked)
+    symbols, letters, digits, spaces, plain_dense, common_dense, _, damage = kinds.tolist()
+    dense = plain_dense + common_dense
+    lower = text.lower()
+    low = lower.split()
+    # One capital letter becomes two characters.
+    tokens = low if len(lower) == n else text.split()
+    v[AT["chars"]], v[AT["letters"]], v[AT["dense"]] = n, letters + dense, dense
+    v[AT["digits"]], v[AT["spaces"]], v[AT["dense_common"]] = digits, spaces, common_dense
+    v[AT["symbols"]] = symbols + damage
+    v[AT["weird"]] = damage + int(np.count_nonzero(neighbours & _DAMAGE))
     v[AT["words"]] = len(tokens)
     sizes = list(map(len, tokens))
     v[AT["word_chars"]] = sum(sizes)
-    low = [t.strip(_TRIM) for t in text.lower().split()]
-    # d'accord, l'analyse: the article counts
-    v[AT["common"]] = sum(1 for w in low if w in COMMON_WORDS or ("'" in w and w[: w.index("'") + 1] in COMMON_WORDS))
-    v[AT["separators"]] = len(_INLINE.findall(text))
-    v[AT["strong"]] = text.count(";") + text.count("|") + text.count("；")
+    known = np.fromiter(map(_TOKENS.__getitem__, low), np.uint64, len(low))
+    v[AT["common"]] = int(np.count_nonzero(known > _LOW_HALF))
+    v[AT["separators"]] = sum(map(text.count, _INLINE))
+    v[AT["strong"]] = sum(map(text.count, ";|；"))
     near = text if around is None else around[0] + text + around[1]
-    if any(map(near.__contains__, _UI_HINTS)):
+    if any(c in near and any(map(near.__contains__, hints)) for c, hints in _UI_HINTS.items()):
         lo = len(around[0]) if around else 0
         v[AT["ui"]] = sum(lo <= m.start() < lo + n for m in UI.finditer(near))
     if sizes and max(sizes) > 28:
@@ -214,18 +305,18 @@ def measure(text: str, pairs: set[int] | None = None, opened: bool = False, left
     v[AT["brackets"]] = sum(map(text.count, "[];"))
     if mash:
         v[AT["mash"]] = len(_MASH.findall(text))
-    v[AT["broken"]] = len(_BROKEN.findall(text))
+    v[AT["broken"]] = int(np.count_nonzero(neighbours & _BROKEN))
     v[AT["pairs"]] = max(0, len(low) - 1)
     if pairs is not None:
         if _unspaced(kinds) if unspaced is None else unspaced:
-            low = [text[i : i + 2] for i in range(0, n - 1)]
-            v[AT["pairs"]] = max(0, len(low) - 1)
-        if len(low) > 1:
-            pairs.update(np.unique(_pairs(low))[:SKETCH].tolist())
+            known = _two_characters(text)
+            v[AT["pairs"]] = max(0, len(known) - 1)
+        if len(known) > 1:
+            pairs.update(_least(_pairs(known & _LOW_HALF)))
     lines = text.split("\n")
     for line in lines[int(opened) : len(lines) - left_open]:
         _count_line(v, line, dense > 0)
-    return v
+    return np.array(v, dtype=np.int64)
 
 
 _TWO_DENSE = re.compile(f"(?<={_DENSE.pattern})(?={_DENSE.pattern})")
@@ -272,12 +363,12 @@ def cut_lines(text: str, size: int = PIECE_CHARS) -> Iterator[tuple[str, str, st
         piece, in_line, in_word = now
         end = at + len(piece)
         left_open = after is not None and after[1]
-        v = np.zeros(len(NAMES), dtype=np.int64)
+        v = [0] * len(NAMES)
         start = piece.rfind("\n") + 1
         if left_open and (start or not in_line):
             stop = text.find("\n", end)
             _count_line(v, text[at + start : stop if stop >= 0 else len(text)], True)
-        yield piece, text[max(0, at - CONTEXT) : at], text[end : end + CONTEXT], in_line, left_open, in_word, v.tolist()
+        yield piece, text[max(0, at - CONTEXT) : at], text[end : end + CONTEXT], in_line, left_open, in_word, v
         at, now = end, after
 
 
@@ -296,15 +387,14 @@ def join_pieces(a: tuple, b: tuple) -> tuple:
     if b[2]:
         v[AT["words"]] -= 1
     if a[3]:
-        edge = a[5] + b[4]
-        low = [edge[i : i + 2] for i in range(len(edge) - 1)]
+        low = _two_characters(a[5] + b[4])
         if len(low) > 1:
             v[AT["pairs"]] += len(low) - 1
             seam = _pairs(low).tolist()
         return v, smallest([*a[1], *b[1], *seam]), a[2], a[3], (a[4] + b[4])[:2], (a[5] + b[5])[-2:]
     if not b[2] and a[5] and b[4]:
         v[AT["pairs"]] += 1
-        seam = _pairs([a[5], b[4]]).tolist()
+        seam = _pairs(np.array([_hash(a[5]), _hash(b[4])], dtype=np.uint64)).tolist()
     return v, smallest([*a[1], *b[1], *seam]), a[2], a[3], a[4] or b[4], b[5] or a[5]
 
 
@@ -315,7 +405,7 @@ def distinct_pairs(sketch: list[int], k: int = SKETCH) -> float:
 
 def outcome(v: np.ndarray, distinct: float) -> str:
     """``prose``, ``list``, ``table`` or ``junk`` of a count vector."""
-    g = lambda name: float(v[AT[name]])
+    g = dict(zip(NAMES, v.tolist())).__getitem__
     lines, words, chars = max(g("lines"), 1.0), max(g("words"), 1.0), max(g("chars"), 1.0)
     visible = max(chars - g("spaces"), 1.0)
     dense = g("dense") * 3 > g("letters")
@@ -353,6 +443,11 @@ def outcome(v: np.ndarray, distinct: float) -> str:
     return "prose"
 
 
+def _may_mash(text: str) -> bool:
+    """Whether :func:`outcome` looks at ``mash`` at all."""
+    return sum(map(text.count, "[];")) > MASH_SHARE * len(text)
+
+
 def split_first(text: str) -> tuple[str, str]:
     """The first sentence or line, and the rest; no split where nothing would be left."""
     m = _FIRST.match(text.lstrip())
@@ -375,7 +470,7 @@ STATS = "n_chars bigint, n_words bigint, n_lines bigint, n_sentence_ends bigint,
 
 def _stats(first: np.ndarray, rest: np.ndarray, sketch: list[int]) -> tuple:
     v = first + rest
-    g = lambda name: float(v[AT[name]])
+    g = dict(zip(NAMES, v.tolist())).__getitem__
     share = lambda a, b: a / b if b else None
     d = distinct_pairs(sketch)
     dense = g("dense") * 3 > g("letters")
@@ -408,7 +503,7 @@ def document_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", pie
                 pairs: set[int] = set()
                 t = t or ""
                 first, rest = split_first(t)
-                mash = any(map(t.__contains__, "[];"))
+                mash = _may_mash(rest) or _may_mash(first + rest)
                 out.append(_stats(measure(first, mash=mash), measure(rest, pairs, mash=mash), smallest(pairs)))
             yield rows(b.column(key), out)
 
@@ -425,7 +520,7 @@ def document_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", pie
             for i, t in enumerate(b.column(text).to_pylist()):
                 k = b.column(key).slice(i, 1)
                 first, rest = split_first(t)
-                unspaced = _unspaced(sum(_kinds(p) for p, *_ in pieces(rest, piece)))
+                unspaced = _unspaced(sum(_kinds(_marked(p)) for p, *_ in pieces(rest, piece)))
                 whole_first = (first, "", "", False, False, False, [0] * len(NAMES))
                 for part, (p, before, after, *flags, counts) in enumerate([whole_first, *cut_lines(rest, piece)]):
                     yield pa.RecordBatch.from_arrays([k, pa.array([part]), pa.array([p]), pa.array([before]), pa.array([after]), *(pa.array([f]) for f in (*flags, unspaced)), pa.array([counts], pa.list_(pa.int64()))], piece_names)

@@ -2,6 +2,9 @@
 
 import math
 import random
+import re
+import time
+import zlib
 
 import pytest
 from conftest import sorted_rows
@@ -556,6 +559,48 @@ def test_quality_cut_lines_count_whole(spark):
     assert {r[0]: r[-1] for r in parts}[9] == "prose"
 
 
+def plain_counts(text: str, unspaced: bool) -> dict[str, int | list[int]]:
+    """Some counts of quality.measure by the plainest means."""
+    low = [t.strip(".,;:!?'\"()“”«»…") for t in text.lower().split()]
+    lines = [x for x in text.split("\n") if x.strip()]
+    marker = r"\s*(?:[•·●▪◦‣*+–—-]|\(?\d{1,4}[.)]|\(?[a-zA-Z][.)]|\[[ xX✓]?\]|☐|☑|[①-⑳]|\d{1,4}[、．])\s*(?=\S)"
+    marks = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]|(?<=[\u0e00-\u0e7f])[…](?=\s|$)")
+    items = [text[i : i + 2] for i in range(len(text) - 1)] if unspaced else low
+    crc = [zlib.crc32(w.encode()) for w in items]
+    return {
+        "words": len(text.split()), "word_chars": sum(map(len, text.split())), "lines": len(lines),
+        "ends": sum(len(marks.findall(re.sub("^" + marker, "", x))) for x in lines),
+        "ended_lines": sum(bool(re.search(r"[.!?…。！？][\"'”’“»)\]」』）]*\s*$", x)) for x in lines),
+        "common": sum(w in quality.COMMON_WORDS or "'" in w and w[: w.index("'") + 1] in quality.COMMON_WORDS for w in low),
+        "separators": len(re.findall(r"[;,、；，|/•·]\s*", text)), "broken": len(re.findall(r"[,;~|#§^¤:!?\d]+(?=[^\W\d_])", text)),
+        "pairs": max(0, len(items) - 1), "sketch": sorted({(a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % 2**64 >> 32 for a, b in zip(crc, crc[1:])})[:64],
+    }
+
+
+def test_quality_counts_as_plainly_defined():
+    rng = random.Random(4)
+    parts = ["the ", "d'accord, ", "Über-İ ", "5x ", "٣a", "²b ", "½c ", "ok. ", "(no!) ", "wait…\" ", "没错。", "这样，", "ไทย… ", "\n", "\n- ", "\n1.) ", "\t", "  ", "\x85", "\x1c", "ÃÂ© ", "🙂", "\U00030001", ";|", "12:30 ", "日"]
+    for k in range(400):
+        text = "".join(rng.choice(parts[: 3 + k % len(parts)]) for _ in range(rng.choice((1, 5, 40, 150))))
+        sketch: set[int] = set()
+        got = quality.measure(text, sketch, unspaced=k % 2 > 0)
+        want = plain_counts(text, k % 2 > 0)
+        assert {n: sorted(sketch) if n == "sketch" else got[quality.AT[n]] for n in want} == want, text
+
+
+def test_quality_counts_in_less_time_than_plainly():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    text = "\n".join(" ".join(rng.choice(words) for _ in range(50)) + ", ok. Yes 5 of 6." for _ in range(40))
+    took = {}
+    for _ in range(15):
+        for f in (plain_counts, lambda t, unspaced: quality.measure(t, set(), unspaced=unspaced)):
+            began = time.process_time()
+            f(text, False)
+            took.setdefault(f is plain_counts, []).append(time.process_time() - began)
+    assert min(took[False]) < min(took[True]), took
+
+
 def test_marks():
     text, ends = marks.unescape("a &amp; &bogus; b")
     assert text == "a & &bogus; b" and ends[2] == 7
